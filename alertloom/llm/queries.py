@@ -6,27 +6,106 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from alertloom.llm.bpe_tree import encode_documents, read_ranks
+from alertloom.llm.decision_list import judge
+from alertloom.llm.feistel_pii import pseudonymise
+from alertloom.llm.secret_scan import scan_secrets
 from alertloom.llm.simhash_gray import near_duplicates
+from alertloom.llm.url_filter import Rule, filter_urls
+
+#: Stands for a secret that a deployment supplies; fixed here so that results repeat.
+PSEUDONYM_KEY = "registered query"
+#: Fixed rules of the URL query.
+URL_RULES = (
+    Rule("block", "com", "/en/"),
+    Rule("allow", "example.com", "/en/7"),
+    Rule("allow", "net", "/de/"),
+    Rule("block", "example.net", "/de/8"),
+    Rule("block", "org", "/es/"),
+)
+#: Names of unwanted sites; each is listed under three domains.
+LISTED_SITES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DOMAINS = ("example.com", "example.net", "example.org")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = F.explode(F.array(*[F.lit(f"{site}.{domain}/") for site in LISTED_SITES for domain in LISTED_DOMAINS]))
+    return filter_urls(_table(spark, sf_dir, "pages"), spark.range(1).select(entries.alias("entry")), list(URL_RULES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe_tree": op3_bpe_tree, "op9_simhash_gray": op9_simhash_gray}
+    """Every corpus query by name."""
+    return {
+        "op1_feistel_pii": op1_feistel_pii,
+        "op3_bpe_tree": op3_bpe_tree,
+        "op4_secret_scan": op4_secret_scan,
+        "op7_decision_list": op7_decision_list,
+        "op9_simhash_gray": op9_simhash_gray,
+        "op10_url_filter": op10_url_filter,
+    }
+
+
+#: DuckDB SQL of the URL query; a site's entry covers its host and subdomains, without user, port and ``www.``.
+OP10_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), named AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts
+), listed AS (
+  SELECT site || '.' || domain AS entry
+  FROM (SELECT unnest(['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS site)
+  CROSS JOIN (SELECT unnest(['example.com', 'example.net', 'example.org']) AS domain)
+), judged AS (
+  SELECT page_id, host, path,
+    CASE
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'
+      WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
+      WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/'
+    END AS rule,
+    regexp_replace(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '\\.+$', '') AS bare
+  FROM named
+)
+SELECT page_id, host, path, rule,
+  CASE
+    WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN EXISTS (SELECT 1 FROM listed WHERE bare = entry OR bare LIKE '%.' || entry) THEN 'block'
+    ELSE 'allow'
+  END AS verdict
+FROM judged
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_filter": OP10_SQL}
