@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 from alertloom.llm.bpe_tree import encode_documents, read_ranks
 from alertloom.llm.decision_list import judge
 from alertloom.llm.feistel_pii import pseudonymise
+from alertloom.llm.lattice_lm import score_documents
 from alertloom.llm.secret_scan import scan_secrets
 from alertloom.llm.simhash_gray import near_duplicates
+from alertloom.llm.trie_counts import count_tokens
+from alertloom.llm.unigram_vocab import prior, read_pieces
 from alertloom.llm.url_filter import Rule, filter_urls
 
 #: Stands for a secret that a deployment supplies; fixed here so that results repeat.
@@ -38,6 +42,10 @@ def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -47,6 +55,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op5_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(_table(spark, sf_dir, "documents"), pieces, np.log(prior(pieces)).tolist())
+
+
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -64,8 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every corpus query by name."""
     return {
         "op1_feistel_pii": op1_feistel_pii,
+        "op2_lattice_lm": op2_lattice_lm,
         "op3_bpe_tree": op3_bpe_tree,
         "op4_secret_scan": op4_secret_scan,
+        "op5_trie_counts": op5_trie_counts,
         "op7_decision_list": op7_decision_list,
         "op9_simhash_gray": op9_simhash_gray,
         "op10_url_filter": op10_url_filter,
