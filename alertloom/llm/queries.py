@@ -13,6 +13,7 @@ from alertloom.llm.bpe_tree import encode_documents, read_ranks
 from alertloom.llm.decision_list import judge
 from alertloom.llm.feistel_pii import pseudonymise
 from alertloom.llm.lattice_lm import score_documents
+from alertloom.llm.rlz_dedup import remove_repeats
 from alertloom.llm.secret_scan import scan_secrets
 from alertloom.llm.simhash_gray import near_duplicates
 from alertloom.llm.trie_counts import count_tokens
@@ -60,6 +61,10 @@ def op5_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), pieces, np.log(prior(pieces)).tolist())
 
 
+def op6_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_tree": op3_bpe_tree,
         "op4_secret_scan": op4_secret_scan,
         "op5_trie_counts": op5_trie_counts,
+        "op6_rlz_dedup": op6_rlz_dedup,
         "op7_decision_list": op7_decision_list,
         "op9_simhash_gray": op9_simhash_gray,
         "op10_url_filter": op10_url_filter,
