@@ -13,6 +13,7 @@ from alertloom.llm.bpe_tree import encode_documents, read_ranks
 from alertloom.llm.decision_list import judge
 from alertloom.llm.feistel_pii import pseudonymise
 from alertloom.llm.lattice_lm import score_documents
+from alertloom.llm.lsi_decontam import find_leaks
 from alertloom.llm.rlz_dedup import remove_repeats
 from alertloom.llm.secret_scan import scan_secrets
 from alertloom.llm.simhash_gray import near_duplicates
@@ -69,6 +70,10 @@ def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_lsi_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_trie_counts": op5_trie_counts,
         "op6_rlz_dedup": op6_rlz_dedup,
         "op7_decision_list": op7_decision_list,
+        "op8_lsi_decontam": op8_lsi_decontam,
         "op9_simhash_gray": op9_simhash_gray,
         "op10_url_filter": op10_url_filter,
     }
