@@ -1 +1,11 @@
+"""Registered queries: importing ``load`` fills the registry."""
 
+from __future__ import annotations
+
+
+def load() -> tuple[dict, dict]:
+    """All queries and their SQL."""
+    from alertloom.plans import grouping_queries  # noqa: F401
+    from alertloom.plans.registry import ORACLES, QUERIES
+
+    return QUERIES, ORACLES
