@@ -53,16 +53,24 @@ def itemsets(items: DataFrame, min_count: int, max_len: int = 3) -> DataFrame:
     return every.select("items", F.size("items").cast("bigint").alias("k"), "support_count")
 
 
-def pattern_matches(patterns: DataFrame, items: DataFrame) -> DataFrame:
-    """(items, gid, group_label) of every pattern and group that holds it: postings met by item, counted."""
-    posted = patterns.select("items", F.size("items").alias("need__"), F.explode("items").alias("p__"))
-    met = posted.join(items, F.col("p__") == F.col("item"))
-    return met.groupBy("items", "gid", "group_label").agg(F.count("*").alias("n__"), F.first("need__").alias("need__")).where("n__ = need__").drop("n__", "need__")
+def pattern_matches(patterns: DataFrame, groups: DataFrame, items: str = "items") -> DataFrame:
+    """(items, gid, group_label) of every pattern and group that holds it.
+
+    Each pattern is posted under its rarest item, met with the groups that have
+    that item, and verified against the whole basket: rows grow with the rarest
+    items' counts, not with the sum over all items.
+    """
+    long = groups.select("gid", "group_label", F.col(items).alias("basket__"), F.explode(F.array_distinct(items)).alias("i__"))
+    counts = long.groupBy("i__").agg(F.count("*").alias("n__"))
+    posted = patterns.select("items", F.explode("items").alias("p__")).join(counts, F.col("p__") == F.col("i__"))
+    rarest = posted.groupBy("items").agg(F.min_by("p__", F.struct("n__", "p__")).alias("key__"))
+    met = rarest.join(long, F.col("key__") == F.col("i__"))
+    return met.where(F.size(F.array_except("items", "basket__")) == 0).select("items", "gid", "group_label")
 
 
-def cross_support(patterns: DataFrame, items: DataFrame, groups: DataFrame) -> DataFrame:
+def cross_support(patterns: DataFrame, groups: DataFrame) -> DataFrame:
     """Adds counts and supports per class, and their difference attack - benign."""
-    hits = pattern_matches(patterns, items).groupBy("items").agg(F.count_if(F.col("group_label") == "attack").alias("count_attack"), F.count_if(F.col("group_label") == "benign").alias("count_benign"))
+    hits = pattern_matches(patterns, groups).groupBy("items").agg(F.count_if(F.col("group_label") == "attack").alias("count_attack"), F.count_if(F.col("group_label") == "benign").alias("count_benign"))
     sizes = class_sizes(groups).withColumn("k__", F.lit(1))
     joined = patterns.join(hits.withColumnRenamed("items", "of__"), F.col("items") == F.col("of__"), "left").drop("of__").withColumn("k__", F.lit(1)).join(F.broadcast(sizes), "k__").drop("k__")
     safe = lambda a, b: F.coalesce(F.try_divide(F.coalesce(a, F.lit(0)).cast("double"), b), F.lit(0.0))
