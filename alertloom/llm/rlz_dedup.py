@@ -47,8 +47,6 @@ RUN = 7
 BLOCK_BYTES = 12_000_000
 MOST_BLOCKS = 20_000
 PIECE_BYTES = 400_000
-#: Distinct words whose hashes a worker remembers.
-REMEMBERED = 300_000
 RESPONSE = "block int, stage int, bucket int, bits binary"
 REPORT = "bucket int, block int, data binary, owners binary"
 
@@ -71,16 +69,31 @@ def _runs(h: np.ndarray, width: int, seed: int) -> np.ndarray:
     return _mix(out)
 
 
-class _WordHash(dict):
-    """64-bit hash by word, bounded."""
+#: Powers of an odd base modulo 2**64, and of its inverse, for hashes of byte runs by differences of prefix sums.
+BASE = 0x9E6C63D0876A9A63
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes hashed at once.
+CHUNK_BYTES = 1 << 20
+#: The blanks that bytes.split() knows.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts in a row, and the number of words of each text."""
+    line = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    blank = BLANK[line]
+    begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((line.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(line)))])
+    hashes = (sums[end] - sums[begin]) * _powers(INVERSE, len(line))[begin]
+    cuts = np.cumsum([len(t) + 1 for t in texts])
+    return _mix(hashes ^ (end - begin).astype(np.uint64)), np.diff(np.searchsorted(begin, np.concatenate([[0], cuts])))
 
 
 class Block:
@@ -92,28 +105,31 @@ class Block:
         unpack = zstandard.ZstdDecompressor().decompress
         rows = [row for p in pieces for row in pickle.loads(unpack(p))]  # noqa: S301 - written by pack_blocks
         self.rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
-        hash_of, hashes, anchors, owners, self.first = _WordHash().__getitem__, [], [], [], []
-        at = 0
-        for doc_id, text in self.rows:
-            self.first.append(at)
-            words = text.split() if doc_id is not None else []
-            if len(words) < WIDTH:
-                continue
-            h = np.fromiter(map(hash_of, words), np.uint64, len(words))
-            windows = _runs(h, WIDTH, 1)
-            low = _runs(h, RUN, 2)
-            least = low[: len(windows)]
-            for j in range(1, WIDTH - RUN + 1):
-                least = np.minimum(least, low[j : j + len(windows)])
-            hashes.append(windows)
-            anchors.append(least)
-            owners.append(np.full(len(windows), doc_id, np.int64))
-            at += len(windows)
-        self.first.append(at)
-        none = np.zeros(0, np.uint64)
-        self.windows = np.concatenate(hashes) if hashes else none
-        self.anchors = _mix(np.concatenate(anchors)) if anchors else none
-        self.owners = np.concatenate(owners) if owners else none.view(np.int64)
+        hashes, sizes, held, size = [], [], [], 0
+        for _, text in [*self.rows, (None, None)]:
+            if held and (text is None or size + len(text) > CHUNK_BYTES):
+                found, counts = word_hashes(held)
+                hashes.append(found)
+                sizes.append(counts)
+                held, size = [], 0
+            if text is not None:
+                held.append(text)
+                size += len(text)
+        self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        # A window counts where it lies in one document that has a doc_id.
+        named = np.array([i is not None for i, _ in self.rows], bool)
+        per = np.where(named, np.maximum(0, self.sizes - WIDTH + 1), 0)
+        self.first = np.concatenate([[0], np.cumsum(per)])
+        doc = np.repeat(np.arange(len(per)), per)
+        place = (np.cumsum(self.sizes) - self.sizes)[doc] + np.arange(len(doc)) - self.first[doc]
+        low = _runs(h, RUN, 2)
+        least = low.copy()
+        for j in range(1, WIDTH - RUN + 1):
+            np.minimum(least[: len(low) - j], low[j:], out=least[: len(low) - j])
+        self.windows = _runs(h, WIDTH, 1)[place]
+        self.anchors = _mix(least[place])
+        self.owners = np.array([i if i is not None else 0 for i, _ in self.rows], np.int64)[doc]
 
     def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct anchors, and whether two documents of the block have it."""
@@ -122,7 +138,9 @@ class Block:
         values, owners = self.anchors[change], self.owners[change]
         order = np.argsort(values, kind="stable")
         values, owners = values[order], owners[order]
-        start = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
+        if not len(values):
+            return values, np.zeros(0, bool)
+        start = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
         last = np.append(start[1:], len(values)) - 1
         return values[start], owners[start] != owners[last]
 
