@@ -38,7 +38,7 @@ def normalize_text(text: Column) -> Column:
 
 def short_tokens(short: Column) -> Column:
     """Distinct trimmed parts between hyphens."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(short, F.lit("")), "-"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(short, F.lit("")), "-"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def signature_tokens(signature: Column, allowed: list[str], blocked: list[str]) -> Column:

@@ -62,7 +62,7 @@ def label_number(label: Column) -> Column:
 
 def prepare(groups: DataFrame) -> DataFrame:
     """Items trimmed and not blank; groups without items or label go."""
-    tidy = F.array_sort(F.array_distinct(F.filter(F.transform("raw_items", F.trim), lambda x: x != "")))
+    tidy = F.array_sort(F.array_distinct(F.filter(F.transform("raw_items", lambda x: F.trim(x)), lambda x: x != "")))
     return groups.withColumn("raw_items", tidy).where((F.size("raw_items") > 0) & F.col("group_label").isNotNull())
 
 
