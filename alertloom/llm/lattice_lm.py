@@ -173,35 +173,41 @@ def score_documents(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
             texts = batch.column("text").cast(pa.binary())
             ids = batch.column("doc_id").to_pylist()
             for low in range(0, batch.num_rows, PART):
-                cols: dict[str, list] = {k: [] for k in ("row", "word", "n", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-
-                def add(*values: object, cols: dict = cols) -> None:
-                    for k, v in zip(cols, values, strict=True):
-                        cols[k].append(v)
-
+                rare: list[bytes] = []
+                times: list[int] = []
+                sizes: list[int] = []
+                sums: list[tuple] = []
                 for doc_id, text in zip(ids[low : low + PART], texts[low : low + PART], strict=True):
-                    row += 1
                     counts = Counter((text.as_py() or b"").lower().split())
                     counts[b""] = 1
                     base = lp = 0.0
-                    seen = n_tokens = 0
+                    seen, held = 0, len(rare)
                     for word, n in counts.items():
-                        n_tokens += n
                         value = known(word)
                         if value is None:
-                            add(row, word, n, None, None, None, None, None, None)
+                            rare.append(word)
+                            times.append(n)
                         else:
                             base += n * value[0]
                             lp += n * value[1]
                             seen += n * value[2]
-                    # A word with a blank never occurs: this row just carries the sums, dealt evenly.
-                    add(row, MARK + row.to_bytes(8, "big"), 0, doc_id, not is_training(doc_id), n_tokens, seen, base, lp)
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(cols.items(), types, strict=True)})
+                    sizes.append(len(rare) - held)
+                    sums.append((doc_id, not is_training(doc_id), counts.total(), seen, base, lp))
+                numbers = np.arange(row + 1, row + 1 + len(sums))
+                row += len(sums)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(numbers, sizes)), pa.array(rare, pa.binary()), pa.array(times, pa.int64()), *[pa.nulls(len(rare), t) for t in types]], names
+                )
+                # A word with a blank never occurs: these rows just carry the sums, dealt evenly.
+                own = pa.array([MARK + int(k).to_bytes(8, "big") for k in numbers], pa.binary())
+                done = [pa.array(v, t) for v, t in zip(zip(*sums, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), own, pa.array(np.zeros(len(sums), np.int64)), *done], names)
 
     id_type = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    types = [pa.int64(), pa.binary(), pa.int64(), to_arrow_type(id_type), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    types = [to_arrow_type(id_type), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    names = ["row", "word", "n", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     rows = docs.mapInArrow(run, f"row bigint, word binary, n bigint, doc_id {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     joined = rows.join(words.select(F.col("word").alias("of"), "c", "lp"), F.col("word") == F.col("of"), "left")
     base = F.log10(F.col("c") + 1.0) - F.lit(floor)
