@@ -11,6 +11,7 @@ from alertloom.operators import metrics as M
 from alertloom.operators import mining as P
 from alertloom.operators import rules as R
 from alertloom.operators import sampling as S
+from alertloom.operators import trees as T
 from alertloom.operators import windows as W
 from alertloom.plans.grouping_queries import GROUPED, SESSIONS, grouped, sessions
 from alertloom.plans.mining_queries import FIRES, RULES, TOPS, WINDOWED, tops, windowed
@@ -217,3 +218,35 @@ def stream_fixed_windows(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     got = _stream(spark, sf_dir, lambda r: D.stream_sessions(r, 43_200), "stream_sessions")
     return got.select("host", F.unix_timestamp("session_window.start").alias("start_ts"), "n_alerts", "any_attack")
+
+
+@query("tree_level_split", f"""WITH {ALERTS}, z AS (SELECT count(*) FILTER (label = 'attack') AS na, count(*) FILTER (label <> 'attack') AS nb FROM alerts),
+ l AS (SELECT label, unnest(['hour', 'value']) AS feature, unnest([((time // 3600) % 24)::DOUBLE, round(value, 0)]) AS v FROM alerts),
+ p AS (SELECT feature, v, count(*) FILTER (label = 'attack') * 0.5 / any_value(na) AS p, count(*) FILTER (label <> 'attack') * 0.5 / any_value(nb) AS n, count(*) AS c FROM l, z GROUP BY 1, 2),
+ s AS (SELECT feature, v, lead(v) OVER w AS nx, sum(p) OVER w AS lp, sum(n) OVER w AS ln, sum(c) OVER w AS lc, sum(p) OVER (PARTITION BY feature) AS tp, sum(n) OVER (PARTITION BY feature) AS tn, sum(c) OVER (PARTITION BY feature) AS tc FROM p WINDOW w AS (PARTITION BY feature ORDER BY v)),
+ d AS (SELECT feature, (v + nx) / 2 AS threshold, (tp + tn - (tp * tp + tn * tn) / (tp + tn)) - (lp + ln - (lp * lp + ln * ln) / (lp + ln)) - (tp - lp + tn - ln - ((tp - lp) ** 2 + (tn - ln) ** 2) / (tp - lp + tn - ln)) AS dec FROM s WHERE nx IS NOT NULL AND lc >= 20 AND tc - lc >= 20)
+SELECT feature, threshold, round(dec, 6) AS decrease FROM d ORDER BY round(dec, 12) DESC, feature, threshold LIMIT 1""")
+def tree_level_split(spark, sf_dir):
+    a = alerts(spark, sf_dir).select((F.col("label") == "attack").cast("int").alias("y"), ((F.floor(F.col("time") / 3600)) % 24).cast("double").alias("hour"), F.round("value", 0).alias("value"))
+    n = a.groupBy("y").agg(F.count("*").alias("n__")).withColumnRenamed("y", "y__")
+    weighted = a.join(F.broadcast(n), F.col("y") == F.col("y__")).select("y", "hour", "value", (0.5 / F.col("n__")).alias("weight"), F.lit(0).alias("node"))
+    return rounded(T.best_splits(weighted, ["hour", "value"], 20).drop("node"))
+
+
+@query("tree_leaves")
+def tree_leaves(spark, sf_dir):
+    a = alerts(spark, sf_dir).select((F.col("label") == "attack").cast("int").alias("y"), ((F.floor(F.col("time") / 3600)) % 24).cast("double").alias("hour"), "value")
+    leaves = T.fit_tree(a, ["hour", "value"], 2, 50)
+    return spark.createDataFrame([(" and ".join(p.token() for p in x.path), x.n_attack, x.n_benign, x.prediction) for x in leaves], "path string, n_attack bigint, n_benign bigint, prediction string")
+
+
+@query("greedy_cover")
+def greedy_cover(spark, sf_dir):
+    chosen = T.cover_rules(P.long_items(baskets(spark, sf_dir)), baskets(spark, sf_dir), 3, 0.5)
+    return spark.createDataFrame(chosen, "item string, n_attack bigint, n_benign bigint")
+
+
+@query("schema_history", "SELECT version, deployed_at, lead(deployed_at) OVER (ORDER BY deployed_at, version) AS superseded_at FROM (SELECT p_partkey AS version, date '2024-01-01' + CAST(p_partkey AS INT) AS deployed_at FROM part WHERE p_partkey < 20)")
+def schema_history(spark, sf_dir):
+    h = table(spark, sf_dir, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("version"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_partkey").cast("int")).alias("deployed_at"))
+    return T.versions(h)
