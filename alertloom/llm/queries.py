@@ -134,5 +134,32 @@ FROM judged
 """
 
 
+#: DuckDB SQL of the substring query: every window by its words, the smallest document of each.
+OP6_SQL = """
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS run FROM split, unnest(range(1, len(ws) - 11)) AS t(i)
+), firsts AS (
+  SELECT run, min(doc_id) AS least FROM windows GROUP BY run
+), hits AS (
+  SELECT doc_id, i FROM windows JOIN firsts USING (run) WHERE least < doc_id
+), covered AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM hits, unnest(range(13)) AS t(k)
+), words AS (
+  SELECT doc_id, i, ws[i] AS word FROM split, unnest(range(1, len(ws) + 1)) AS t(i)
+), marked AS (
+  SELECT w.doc_id, w.i, word, c.i IS NOT NULL AS gone FROM words w LEFT JOIN covered c ON c.doc_id = w.doc_id AND c.i = w.i
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id
+), factors AS (
+  SELECT doc_id, count(*) FILTER (NOT follows) AS n FROM (SELECT doc_id, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) = i - 1, false) AS follows FROM hits) GROUP BY doc_id
+)
+SELECT s.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(f.n, 0) AS n_factors, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id LEFT JOIN factors f ON f.doc_id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL}
+    """DuckDB SQL of the queries that it can express; the others are tested against brute force."""
+    return {"op6_rlz_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
