@@ -178,3 +178,55 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_make_texts_repeat():
     assert make_texts() == make_texts()
+
+
+def test_pipeline_equals_brute_force(spark):
+    """The whole pipeline on the smallest tables: learned rules as learned, everything after by plain loops."""
+    import public_tokenizers as P
+    import tiktoken
+
+    from alertloom.llm import bpe_tree, decision_list
+    from tests.llm.test_text_operators import base_of, entropy_of, surface_of
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = decision_list.learn(*decision_list.training_rows(docs, labels))
+    features = {r.doc_id: r for r in decision_list.surface(docs).select("doc_id", *decision_list.FEATURES).collect()}
+    texts = {}
+    for r in docs.collect():
+        n, _, _, _, repeated = surface_of(r.text)
+        x = np.array([[float(features[r.doc_id][f]) for f in decision_list.FEATURES]])
+        rejected = any(all(t.holds(x)[0] for t in rule.tests) for rule in rules)
+        if n >= 20 and 100 * repeated <= 30 * n and not rejected:
+            texts[r.doc_id] = r.text
+    prints = {i: brute_fingerprint(t) for i, t in texts.items()}
+    groups = components([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2], prints)
+    texts = {i: t for i, t in texts.items() if groups[i] == i}
+    items = [(lsi_decontam.fold(r.text.encode()), lsi_decontam.answer_of(r.text.encode())) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+
+    def leaked(words):
+        for at in range(0, max(1, len(words) - lsi_decontam.STRIDE), lsi_decontam.STRIDE):
+            for item, answer in items:
+                around = words[max(0, at - len(item)) : at + lsi_decontam.PASSAGE + len(item)]
+                share = lsi_decontam.common_subsequence(item, around) / len(item)
+                stands = any(around[k : k + len(answer)] == answer for k in range(len(around)))
+                if share >= lsi_decontam.SURE or (share >= lsi_decontam.LIKELY and stands):
+                    return True
+        return False
+
+    texts = {i: t for i, t in texts.items() if not leaked(lsi_decontam.fold(t.encode()))}
+    ranks = bpe_tree.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for i, t in texts.items():
+        base = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in base_of(t).split(",") if x)]
+        more = [(s, "entropy", e) for s, _, e in entropy_of(t) if not any(a <= s and e <= b for a, _, b in base)]
+        order = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
+        out, at = "", 0
+        for s, k, e in sorted(base + more, key=lambda x: (x[0], order[x[1]])):
+            if s >= at:
+                out += t[at:s] + f"[{k}]"
+            at = max(at, e)
+        clean = out + t[at:] if base or more else t
+        want[i] = hashlib.sha256(np.array(library.encode_ordinary(clean), "<u4").tobytes()).hexdigest()
+    assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf).collect()} == want
