@@ -278,8 +278,8 @@ def tops(spark, sf_dir):
     return c.withColumn("k", F.row_number().over(Window.partitionBy("win_idx").orderBy(F.desc("n"), "feature"))).where("k <= 20").select("win_idx", "feature")
 
 
-@query("feature_stability", TOPS + """, p AS (SELECT x.win_idx, count(y.feature) AS unchanged FROM top x LEFT JOIN top y ON y.win_idx = x.win_idx - 1 AND y.feature = x.feature WHERE x.win_idx > 0 GROUP BY 1)
-SELECT 'all' AS scope, win_idx, 20 - unchanged AS added, 20 - unchanged AS removed, unchanged, round(unchanged / (40 - unchanged), 6) AS jaccard FROM p""")
+@query("feature_stability", TOPS + """, sz AS (SELECT win_idx, count(*) AS n FROM top GROUP BY 1), p AS (SELECT x.win_idx, count(y.feature) AS u FROM top x LEFT JOIN top y ON y.win_idx = x.win_idx - 1 AND y.feature = x.feature WHERE x.win_idx > 0 GROUP BY 1)
+SELECT 'all' AS scope, p.win_idx, a.n - u AS added, b.n - u AS removed, u AS unchanged, round(u / (a.n + b.n - u), 6) AS jaccard FROM p JOIN sz a ON a.win_idx = p.win_idx JOIN sz b ON b.win_idx = p.win_idx - 1""")
 def feature_stability(spark, sf_dir):
     sets = tops(spark, sf_dir).groupBy("win_idx").agg(F.collect_set("feature").alias("features")).withColumn("scope", F.lit("all"))
     out = D.stability(sets, ["scope"], "win_idx")
