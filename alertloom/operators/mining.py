@@ -53,6 +53,35 @@ def itemsets(items: DataFrame, min_count: int, max_len: int = 3) -> DataFrame:
     return every.select("items", F.size("items").cast("bigint").alias("k"), "support_count")
 
 
+def combinations(items: Column, max_len: int) -> Column:
+    """All combinations of a sorted array's items, of 1 to ``max_len`` items, as arrays."""
+    level = F.transform(items, lambda x: F.array(x))
+    out = level
+    for _ in range(1, max_len):
+        level = F.flatten(F.transform(level, lambda c: F.transform(F.filter(items, lambda y: y > F.element_at(c, -1)), lambda y: F.array_append(c, y))))
+        out = F.concat(out, level)
+    return out
+
+
+def basket_itemsets(groups: DataFrame, min_count: int, max_len: int = 3, items: str = "items") -> DataFrame:
+    """The itemsets of ``itemsets`` with their counts by class, for baskets of moderate size.
+
+    Baskets are cut to the frequent items (at most rows / min_count of them come
+    to one row), combinations are formed within each basket and counted with one
+    exchange, after counting by task. A basket of n frequent items makes about
+    n**max_len / max_len! rows: for large baskets ``itemsets`` prunes by level.
+    """
+    single = groups.select(F.explode(F.array_distinct(items)).alias("item")).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    frequent = single.agg(F.array_sort(F.collect_list("item")).alias("frequent__")).withColumn("k__", F.lit(1))
+    # Combinations are much work for few bytes: keep adaptive execution from merging the baskets into a few tasks.
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = groups.select("group_label", F.col(items).alias("basket__")).repartition(parts)
+    cut = dealt.withColumn("k__", F.lit(1)).join(F.broadcast(frequent), "k__")
+    rows = cut.select("group_label", F.explode(combinations(F.array_sort(F.array_intersect("basket__", "frequent__")), max_len)).alias("items"))
+    counted = rows.groupBy("items").agg(F.count("*").alias("support_count"), F.count_if(F.col("group_label") == "attack").alias("count_attack"), F.count_if(F.col("group_label") == "benign").alias("count_benign"))
+    return counted.where(F.col("support_count") >= min_count).select("items", F.size("items").cast("bigint").alias("k"), "support_count", "count_attack", "count_benign")
+
+
 def pattern_matches(patterns: DataFrame, groups: DataFrame, items: str = "items") -> DataFrame:
     """(items, gid, group_label) of every pattern and group that holds it.
 
@@ -69,13 +98,17 @@ def pattern_matches(patterns: DataFrame, groups: DataFrame, items: str = "items"
 
 
 def cross_support(patterns: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds counts and supports per class, and their difference attack - benign."""
-    hits = pattern_matches(patterns, groups).groupBy("items").agg(F.count_if(F.col("group_label") == "attack").alias("count_attack"), F.count_if(F.col("group_label") == "benign").alias("count_benign"))
+    """Adds counts and supports per class, and their difference attack - benign; counts that are there are used."""
+    counted = patterns
+    if "count_attack" not in patterns.columns:
+        hits = pattern_matches(patterns, groups).groupBy("items").agg(F.count_if(F.col("group_label") == "attack").alias("count_attack"), F.count_if(F.col("group_label") == "benign").alias("count_benign"))
+        counted = patterns.join(hits.withColumnRenamed("items", "of__"), F.col("items") == F.col("of__"), "left").drop("of__")
+        counted = counted.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("count_attack", "count_benign")})
     sizes = class_sizes(groups).withColumn("k__", F.lit(1))
-    joined = patterns.join(hits.withColumnRenamed("items", "of__"), F.col("items") == F.col("of__"), "left").drop("of__").withColumn("k__", F.lit(1)).join(F.broadcast(sizes), "k__").drop("k__")
-    safe = lambda a, b: F.coalesce(F.try_divide(F.coalesce(a, F.lit(0)).cast("double"), b), F.lit(0.0))
-    out = joined.withColumns({"support_attack": safe(F.col("count_attack"), F.col("n_attack")), "support_benign": safe(F.col("count_benign"), F.col("n_benign"))})
-    return out.withColumns({"count_attack": F.coalesce("count_attack", F.lit(0)), "count_benign": F.coalesce("count_benign", F.lit(0)), "support_diff": F.col("support_attack") - F.col("support_benign")}).drop("n_attack", "n_benign")
+    joined = counted.withColumn("k__", F.lit(1)).join(F.broadcast(sizes), "k__").drop("k__")
+    safe = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    out = joined.withColumns({"support_attack": safe("count_attack", "n_attack"), "support_benign": safe("count_benign", "n_benign")})
+    return out.withColumn("support_diff", F.col("support_attack") - F.col("support_benign")).drop("n_attack", "n_benign")
 
 
 def confidence(patterns: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ SETS = f"""WITH {BASKETS}, f AS (SELECT item FROM items GROUP BY 1 HAVING count(
 def sets(spark, sf_dir):
     b = baskets(spark, sf_dir)
     least = b.agg(P.min_support_count(0.02, F.count("*"))).first()[0]
-    return P.itemsets(P.long_items(b), least, 3)
+    return P.basket_itemsets(b, least, 3)
 
 
 def scored_sets(spark, sf_dir):
@@ -54,7 +54,7 @@ def scored_sets(spark, sf_dir):
 
 @query("itemsets_k3", SETS + " SELECT pattern, k::BIGINT AS k, support_count FROM sets")
 def itemsets_k3(spark, sf_dir):
-    return joined(sets(spark, sf_dir))
+    return joined(sets(spark, sf_dir)).select("pattern", "k", "support_count")
 
 
 @query("itemset_cross_support", SETS + " SELECT pattern, a AS count_attack, b AS count_benign, round(sa, 6) AS support_attack, round(sb, 6) AS support_benign, round(sa - sb, 6) AS support_diff FROM scored")

@@ -90,6 +90,8 @@ def test_itemsets_equal_enumeration(spark, seed):
                 want[c] = want.get(c, 0) + 1
     got = {tuple(r["items"]): r.support_count for r in mining.itemsets(items, 2, 3).collect()}
     assert got == {k: v for k, v in want.items() if v >= 2}
+    inside = mining.basket_itemsets(spark.createDataFrame(data, "gid int, group_label string, items array<string>"), 2, 3)
+    assert {tuple(r["items"]): r.count_attack for r in inside.collect()} == got
 
 
 def test_supports_and_subsets(spark):
