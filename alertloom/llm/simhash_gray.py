@@ -183,16 +183,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, distance: i
     return prints.join(by_fp, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
-    """Keep one document of each component: its smallest doc_id; of rows that share that id, one.
+def keep_smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Keep one document of each component (doc_id, component_id): its smallest doc_id; of rows that share that id, one.
 
     Rows without a doc_id are kept: they can't be told apart.
     """
-    groups = near_duplicates(docs, **options)
     losers = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
     kept = docs.join(losers, F.col("doc_id") == F.col("gone"), "left_anti")
     with_id = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
     return with_id.unionByName(kept.where("doc_id is null"))
 
 
+def drop_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
+    """Keep one document of each component, as ``keep_smallest`` says."""
+    return keep_smallest(docs, near_duplicates(docs, **options))
+
+
 ship_by_value(__name__)
