@@ -6,6 +6,7 @@ import atexit
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,14 +36,16 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder, from spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves in local mode; on a cluster it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        if not current:
-            current = tempfile.mkdtemp(prefix="alertloom-")
-            spark.sparkContext.setCheckpointDir(current)
-        found = current
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="alertloom-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -72,12 +75,36 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _place(columns: list[str], name: str) -> int:
+    """Where a column stands: spelled the same, or else in other letter case; the first of several."""
+    for fits in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        for i, column in enumerate(columns):
+            if fits(column):
+                return i
+    raise ValueError(f"column {name!r} is missing among {columns}")
+
+
 def checked_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that clashing extra columns can't interfere.
+    """Only the named columns, found by place, so that extra columns can't interfere whatever their names.
+
+    Raises ValueError where one is missing.
+    """
+    by_place = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return by_place.select(*[F.col(f"c{_place(df.columns, n)}").alias(n) for n in names])
+
+
+def sheltered(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with the named columns under just these names, all others under names that no operator uses.
 
-    Raises ValueError where one is missing or ambiguous.
+    Also a function that takes a frame with these columns back to the original ones, in order.
     """
-    for name in names:
-        if df.columns.count(name) != 1:
-            raise ValueError(f"column {name!r} must occur exactly once, found {df.columns.count(name)}")
-    return df.select(*names)
+    old = df.columns
+    given = {_place(old, n): n for n in names}
+    held = [given.get(i, f"own {i}") for i in range(len(old))]
+    return df.toDF(*held), lambda done: done.select(*[F.col(f"`{c}`") for c in held]).toDF(*old)
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """32 bytes that tell rows of different doc_id or text apart; null and empty texts count as the same."""
+    parts = [F.col(doc_id).isNull().cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)]
+    return F.unhex(F.sha2(F.concat_ws("|", *parts), 256))

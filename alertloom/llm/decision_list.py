@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import BLANKS, UPPER, checked_columns, words_of
+from alertloom.llm.common import BLANKS, UPPER, checked_columns, sheltered, words_of
 from alertloom.llm.secret_scan import let
 
 MAX_TRAIN = 20_000
@@ -225,7 +225,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    own = docs.columns
-    names = {c: f"own{i}__" for i, c in enumerate(own) if c != "text"}
-    safe = docs.select(*[F.col(c).alias(names.get(c, c)) for c in own])
-    return with_verdicts(safe, learn(*training_rows(docs, labels))).where("kept").select(*[F.col(names.get(c, c)).alias(c) for c in own])
+    held, restore = sheltered(docs, "text")
+    return restore(with_verdicts(held, learn(*training_rows(docs, labels))).where("kept"))

@@ -1,13 +1,17 @@
 """PII pseudonyms by keyed Feistel permutations within a value's own format.
 
 Found and validated: e-mail addresses, payment card numbers (Luhn), IBANs
-(mod 97), US social security numbers, calendar dates (ISO and day/month/year
-with four-digit years), phone numbers and IPv4 addresses. Each kind's values
+(mod 97), US social security numbers, calendar dates (ISO, and day/month/year
+or, where there is no such day, month/day/year with four-digit years), phone
+numbers and IPv4 addresses. Each kind's values
 are numbered 0..a*b-1; an alternating Feistel network over the two digits of
 that mixed radix permutes the numbers under the key, so the result is again a
 value of the kind, different values stay different, and equal values get the
 same pseudonym in every document. Check digits are computed anew; separators,
-letter case and e-mail domains stay. A value that is not valid stays as it is.
+letter case and e-mail domains stay; the names of addresses that differ in case
+only get pseudonyms that differ in case only. A value that is not valid stays as
+it is. The key enters the plan as a column of a one-row table, so it doesn't show
+in plans or logs.
 
 Column expressions over one row, nothing is exchanged. Defined results: a null
 text stays null with zero counts; empty texts and texts without findings are
@@ -27,9 +31,11 @@ from alertloom.llm.secret_scan import let
 
 ROUNDS = 8
 KINDS = ("email", "iban", "card", "ssn", "date", "phone", "ipv4")
-#: Fixed formats, by kind; the first that fits at a place wins.
+#: Fixed formats, by kind; the first that fits at a place wins. Each is matched without recursion and from one
+#: place of a run only, so no text is too long. A name before the at sign has 64 characters at most, as the standard
+#: has it; an address is read up to its first label that may be a top-level domain, for what follows stays anyway.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?=[A-Za-z0-9-])(?:[A-Za-z0-9-]|\.(?![A-Za-z]{2}|\.))++\.[A-Za-z]{2,}+",
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
@@ -40,20 +46,26 @@ PATTERNS = {
 FIND = r"(?<![0-9A-Za-z])(?:" + "|".join(PATTERNS.values()) + ")"
 #: Dates move within this span: one 400-year cycle of 146,097 = 773 * 189 days.
 FIRST_DAY, DAYS = "1800-01-01", (773, 189)
+#: Of these, 88,497 = 9833 * 9 lie after a month's 12th: month/day/year dates move among them.
+LATE_DAYS = (9833, 9)
 
 
-def _word(key: str, kind: str, r: Column, value: Column, modulus: Column) -> Column:
+def _word(key: str | Column, kind: str, r: Column, value: Column, modulus: Column) -> Column:
     """A keyed pseudo-random number below ``modulus``."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), value.cast("string")), 256)
+    digest = F.sha2(F.concat_ws("|", _key(key), F.lit(kind), r.cast("string"), value.cast("string")), 256)
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), modulus)
 
 
+def _key(key: str | Column) -> Column:
+    return key if isinstance(key, Column) else F.lit(key)
+
+
 def _div(x: Column, y: Column) -> Column:
     """Whole quotient of non-negative longs."""
     return F.floor((x - F.pmod(x, y)).cast("decimal(20,0)") / y.cast("decimal(20,0)")).cast("bigint")
 
 
-def permute(x: Column, a: Column, b: Column, key: str, kind: str) -> Column:
+def permute(x: Column, a: Column, b: Column, key: str | Column, kind: str) -> Column:
     """A keyed permutation of 0..a*b-1, where a and b are up to 10**10."""
 
     def step(acc: Column, r: Column) -> Column:
@@ -64,7 +76,7 @@ def permute(x: Column, a: Column, b: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: acc["l"] * b + acc["r"])
 
 
-def permute_digits(digits: Column, key: str, kind: str) -> Column:
+def permute_digits(digits: Column, key: str | Column, kind: str) -> Column:
     """A decimal string permuted among those of its length (1 to 19)."""
 
     def mixed(d: Column) -> Column:
@@ -114,7 +126,7 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: let(value(c), lambda v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97))
 
 
-def _email(x: Column, key: str) -> Column:
+def _email(x: Column, key: str | Column) -> Column:
     """Letters and digits before the at sign, permuted pairwise within their classes."""
     local = F.substring_index(x, "@", 1)
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -126,8 +138,8 @@ def _email(x: Column, key: str) -> Column:
         def one_round(acc: Column, r: Column) -> Column:
             # Characters at even places move by a word of those at odd places, then the other way round.
             def half(current: Column, parity: int) -> Column:
-                other = F.array_join(F.filter(current, lambda _, i: i % 2 != parity), "")
-                digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), r.cast("string"), F.lit(str(parity)), F.size(current).cast("string"), other), 256)
+                other = F.lower(F.array_join(F.filter(current, lambda _, i: i % 2 != parity), ""))
+                digest = F.sha2(F.concat_ws("|", _key(key), F.lit("email"), r.cast("string"), F.lit(str(parity)), F.size(current).cast("string"), other), 256)
                 word = lambda i: F.conv(F.substring(F.sha2(F.concat_ws(".", digest, i.cast("string")), 256), 1, 7), 16, 10).cast("int")
                 return F.transform(
                     current,
@@ -145,7 +157,7 @@ def _email(x: Column, key: str) -> Column:
     return F.concat(let(local, build), F.substring(x, F.length(local) + 1, F.length(x)))
 
 
-def _card(x: Column, key: str) -> Column:
+def _card(x: Column, key: str | Column) -> Column:
     def build(digits: Column) -> Column:
         body = permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
         return let(body, lambda b: _refill(x, F.concat(b, F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
@@ -153,7 +165,7 @@ def _card(x: Column, key: str) -> Column:
     return let(_only_digits(x), build)
 
 
-def _iban(x: Column, key: str) -> Column:
+def _iban(x: Column, key: str | Column) -> Column:
     def build(bare: Column) -> Column:
         body = F.substring(bare, F.lit(5), F.length(bare))
         digits = _only_digits(body)
@@ -176,7 +188,7 @@ def _respace(shape: Column, bare: Column) -> Column:
     return F.aggregate(F.split(shape, ""), zero, step, lambda acc: acc["out"])
 
 
-def _ssn(x: Column, key: str) -> Column:
+def _ssn(x: Column, key: str | Column) -> Column:
     """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
     area = F.substring(x, 1, 3).cast("bigint")
     rank = area - 1 - F.when(area > 666, 1).otherwise(0)
@@ -192,19 +204,45 @@ def _ssn(x: Column, key: str) -> Column:
 
 
 def _day(x: Column) -> Column:
+    """ISO or day/month/year."""
     iso = F.try_to_date(x, "yyyy-MM-dd")
     return F.when(x.rlike("^[0-9]{4}-"), iso).otherwise(F.try_to_date(F.translate(x, ".", "/"), "dd/MM/yyyy"))
 
 
-def _date(x: Column, key: str) -> Column:
+def _american_day(x: Column) -> Column:
+    """Month/day/year."""
+    return F.try_to_date(F.translate(x, ".", "/"), "MM/dd/yyyy")
+
+
+def _date(x: Column, key: str | Column) -> Column:
     number = F.date_diff(_day(x), F.lit(FIRST_DAY).cast("date")).cast("bigint")
     moved = permute(number, F.lit(DAYS[0]).cast("bigint"), F.lit(DAYS[1]).cast("bigint"), key, "date")
     fresh = F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int"))
     show = lambda d: F.when(x.rlike("^[0-9]{4}-"), F.date_format(d, "yyyy-MM-dd")).when(x.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
-    return let(fresh, show)
+    return F.when(_day(x).isNotNull(), let(fresh, show)).otherwise(_american_date(x, key))
+
+
+def _american_date(x: Column, key: str | Column) -> Column:
+    """Permuted among the days after a month's 12th, which can't be read day first."""
+    first = F.lit(FIRST_DAY).cast("date")
+    month_start = lambda m: F.add_months(first, m.cast("int"))
+    #: Late days before a month.
+    earlier = lambda m: F.date_diff(month_start(m), first) - 12 * m
+    day = _american_day(x)
+    months = (F.year(day) - int(FIRST_DAY[:4])) * 12 + F.month(day) - 1
+    number = let(months, earlier).cast("bigint") + F.dayofmonth(day) - 13
+    moved = permute(number, F.lit(LATE_DAYS[0]).cast("bigint"), F.lit(LATE_DAYS[1]).cast("bigint"), key, "date'")
+
+    def show(n: Column) -> Column:
+        about = F.floor(n * F.lit(4800 / (LATE_DAYS[0] * LATE_DAYS[1]))).cast("int")
+        month = F.array_max(F.filter(F.sequence(about - 2, about + 2), lambda m: earlier(m) <= n))
+        fresh = let(month, lambda m: F.date_add(month_start(m), (n - earlier(m) + 12).cast("int")))
+        return let(fresh, lambda d: F.when(x.contains("."), F.date_format(d, "MM.dd.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")))
+
+    return let(moved, show)
 
 
-def _phone(x: Column, key: str) -> Column:
+def _phone(x: Column, key: str | Column) -> Column:
     """The last ten digits at most, so that a country's prefix stays where there are more."""
 
     def build(digits: Column) -> Column:
@@ -215,7 +253,7 @@ def _phone(x: Column, key: str) -> Column:
     return let(_only_digits(x), build)
 
 
-def _ipv4(x: Column, key: str) -> Column:
+def _ipv4(x: Column, key: str | Column) -> Column:
     octets = F.transform(F.split(x, r"\."), lambda o: o.cast("bigint"))
     number = F.aggregate(octets, F.expr("0L"), lambda a, o: a * 256 + o)
     side = F.lit(65_536).cast("bigint")
@@ -231,7 +269,7 @@ def kind_of(x: Column) -> Column:
         "iban": lambda: let(F.replace(x, F.lit(" "), F.lit("")), lambda b: F.length(b).between(15, 34) & (_mod97(b) == 1)),
         "card": lambda: luhn_sum(_only_digits(x)) == 0,
         "ssn": lambda: ~x.rlike("^(?:000|666|9)|-00-|-0000$"),
-        "date": lambda: F.coalesce(_day(x).between(F.lit(FIRST_DAY).cast("date"), F.lit("2199-12-31").cast("date")), F.lit(False)),
+        "date": lambda: F.coalesce(F.coalesce(_day(x), _american_day(x)).between(F.lit(FIRST_DAY).cast("date"), F.lit("2199-12-31").cast("date")), F.lit(False)),
         "phone": lambda: F.length(_only_digits(x)).between(7, 15),
         "ipv4": lambda: F.forall(F.split(x, r"\."), lambda o: o.cast("int") <= 255),
     }
@@ -241,7 +279,7 @@ def kind_of(x: Column) -> Column:
     return out
 
 
-def pseudonym(x: Column, kind: Column, key: str) -> Column:
+def pseudonym(x: Column, kind: Column, key: str | Column) -> Column:
     """The pseudonym of a validated value of a kind."""
     make = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "date": _date, "phone": _phone, "ipv4": _ipv4}
     out = x
@@ -250,13 +288,14 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | Column) -> DataFrame:
     """doc_id, text with pseudonyms, n_found and the count of each kind."""
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<struct<old:string,kind:string>>")
     found = F.transform(F.regexp_extract_all(text, F.lit(FIND), F.lit(0)), lambda x: F.struct(x.alias("old"), kind_of(x).alias("kind")))
-    rows = checked_columns(docs, "doc_id", "text").withColumn("found", F.when(text.rlike("[0-9]|@"), found).otherwise(none))
-    fresh = F.transform("found", lambda v: F.when(v["kind"].isNull(), v["old"]).otherwise(pseudonym(v["old"], v["kind"], key)))
+    secret = docs.sparkSession.sql("SELECT * FROM VALUES (:key) AS t(key)", args={"key": key}).scalar()
+    rows = checked_columns(docs, "doc_id", "text").withColumn("key", secret).withColumn("found", F.when(text.rlike("[0-9]|@"), found).otherwise(none))
+    fresh = F.transform("found", lambda v: F.when(v["kind"].isNull(), v["old"]).otherwise(pseudonym(v["old"], v["kind"], F.col("key"))))
     rows = rows.withColumn("fresh", fresh)
     gaps = F.split(text, FIND, -1)
     woven = F.array_join(F.zip_with(gaps, "fresh", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")

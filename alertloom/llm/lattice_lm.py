@@ -43,8 +43,10 @@ HELD_OUT = (7, 2)
 PRIOR_PIECES = 2_000.0
 #: Rounds of expected counts over all training words.
 PASSES = 2
-#: Distinct words that a worker counts before it hands them on.
-COUNTED = 300_000
+#: Distinct words and bytes of text that a worker counts before it hands them on.
+COUNTED, COUNTED_BYTES = 300_000, 64 << 20
+#: Places of a word whose pieces are listed at once.
+ARC_STARTS = 4_096
 PART = 512
 
 
@@ -62,6 +64,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train, other = Counter(), Counter()
+        size = 0
 
         def flush() -> pa.RecordBatch:
             words = list(train.keys() | other.keys())
@@ -74,11 +77,13 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                into = train if is_training(doc_id) else other
-                into.update((text.as_py() or b"").lower().split())
+                into, text = train if is_training(doc_id) else other, text.as_py() or b""
+                into.update(text.lower().split())
                 into[b""] += 1
-                if len(train) + len(other) >= COUNTED:
+                size += len(text)
+                if len(train) + len(other) >= COUNTED or size >= COUNTED_BYTES:
                     yield flush()
+                    size = 0
         yield flush()
 
     counted = docs.mapInArrow(run, "word binary, c bigint, c_all bigint")
@@ -88,27 +93,37 @@ def count_words(docs: DataFrame) -> DataFrame:
 def add_expected(lattice: Lattice, odds: list[float], word: bytes, c: int, sums: list[float]) -> None:
     """Add c times each piece's expected count in a word, from forward and backward sums.
 
-    ``odds`` are the pieces' probabilities. Sums are linear; each position's is
-    scaled by the largest power of two within it, so long words don't underflow.
+    ``odds`` are the pieces' probabilities. Sums are linear; where a forward sum
+    gets small, it and those ahead that a piece can reach are scaled by a power of
+    two. Pieces are listed for ``ARC_STARTS`` places at a time, backwards again.
     """
-    arcs, n = lattice.arcs(word), len(word)
+    n, longest = len(word), lattice.longest
     alpha, scale = [0.0] * (n + 1), [0] * (n + 1)
-    alpha[0] = 1.0
-    last = 0
-    for start, end, i in arcs:
-        if start != last:
-            last = start
-            if alpha[start] < 1e-200:
-                alpha = [a * 2.0**600 if k >= start else a for k, a in enumerate(alpha)]
-                scale = [x + 600 if k >= start else x for k, x in enumerate(scale)]
-        alpha[end] += alpha[start] * odds[i] * 2.0 ** (scale[end] - scale[start])
+    alpha[0], shift, last = 1.0, 0, 0
+    for low in range(0, n, ARC_STARTS):
+        arcs = lattice.arcs(word, low, min(n, low + ARC_STARTS))
+        for start, end, i in arcs:
+            if start != last:
+                last = start
+                if alpha[start] < 1e-200:
+                    shift += 600
+                    for k in range(start, min(n, start + longest) + 1):
+                        alpha[k] *= 2.0**600
+                scale[start] = shift
+            alpha[end] += alpha[start] * odds[i]
+    scale[n] = shift
     beta = [0.0] * (n + 1)
     beta[n] = c / alpha[n]
-    for start, end, i in reversed(arcs):
-        # beta[k] is the backward sum times 2**-scale[k], so alpha * beta needs no more scaling.
-        through = odds[i] * beta[end] * 2.0 ** (scale[end] - scale[start])
-        beta[start] += through
-        sums[i] += alpha[start] * through
+    for low in range((n - 1) // ARC_STARTS * ARC_STARTS, -1, -ARC_STARTS):
+        if n > ARC_STARTS:
+            arcs = lattice.arcs(word, low, min(n, low + ARC_STARTS))
+        for start, end, i in reversed(arcs):
+            # beta[k] is the backward sum times 2**-scale[k], so alpha * beta needs no more scaling.
+            through = odds[i] * beta[end]
+            if scale[end] != scale[start]:
+                through *= 2.0 ** (scale[end] - scale[start])
+            beta[start] += through
+            sums[i] += alpha[start] * through
 
 
 def expected_pieces(words: DataFrame, pieces: list[bytes], scores: list[float]) -> np.ndarray:

@@ -31,9 +31,12 @@ URL_RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-#: Names of unwanted sites; each is listed under three domains.
+#: Names of unwanted sites; each is listed under three domains, and one subdomain by itself.
 LISTED_SITES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 LISTED_DOMAINS = ("example.com", "example.net", "example.org")
+LISTED_HOST = "WWW.blog.tiontion.example.net/"
+#: Single pages that are listed: every fifth number below a bound, on two hosts.
+LISTED_PAGES, PAGE_NUMBERS = ("blog.tionsh.example.com/fr/", "www.ththon.example.org/de/"), (0, 20_000, 5)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +66,7 @@ def op5_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("n_factors")
 
 
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +82,14 @@ def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = F.explode(F.array(*[F.lit(f"{site}.{domain}/") for site in LISTED_SITES for domain in LISTED_DOMAINS]))
-    return filter_urls(_table(spark, sf_dir, "pages"), spark.range(1).select(entries.alias("entry")), list(URL_RULES))
+    return filter_urls(_table(spark, sf_dir, "pages"), listed_urls(spark), list(URL_RULES))
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The list of unwanted URLs (entry), as a deployment would read it from a table."""
+    sites = F.explode(F.array(*[F.lit(f"{site}.{domain}/") for site in LISTED_SITES for domain in LISTED_DOMAINS], F.lit(LISTED_HOST)))
+    pages = F.explode(F.array(*[F.concat(F.lit(x), F.col("id").cast("string")) for x in LISTED_PAGES]))
+    return spark.range(1).select(sites.alias("entry")).unionByName(spark.range(*PAGE_NUMBERS).select(pages.alias("entry")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -99,7 +108,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: DuckDB SQL of the URL query; a site's entry covers its host and subdomains, without user, port and ``www.``.
+#: DuckDB SQL of the URL query; a site's entry covers its host and subdomains, without user, port and ``www.``;
+#: a page's entry covers its URL without a closing slash or index page.
 OP10_SQL = """
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -111,6 +121,9 @@ WITH cut AS (
   SELECT site || '.' || domain AS entry
   FROM (SELECT unnest(['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS site)
   CROSS JOIN (SELECT unnest(['example.com', 'example.net', 'example.org']) AS domain)
+  UNION ALL SELECT 'blog.tiontion.example.net'
+), single AS (
+  SELECT page || k AS entry FROM (SELECT unnest(['blog.tionsh.example.com/fr/', 'ththon.example.org/de/']) AS page) CROSS JOIN range(0, 20000, 5) AS t(k)
 ), judged AS (
   SELECT page_id, host, path,
     CASE
@@ -128,6 +141,7 @@ SELECT page_id, host, path, rule,
     WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
     WHEN EXISTS (SELECT 1 FROM listed WHERE bare = entry OR bare LIKE '%.' || entry) THEN 'block'
+    WHEN regexp_replace(bare, '^www\\.', '') || regexp_replace(path, '(/index\\.html?)?/*$', '') IN (SELECT entry FROM single) THEN 'block'
     ELSE 'allow'
   END AS verdict
 FROM judged
@@ -152,11 +166,9 @@ WITH split AS (
   SELECT w.doc_id, w.i, word, c.i IS NOT NULL AS gone FROM words w LEFT JOIN covered c ON c.doc_id = w.doc_id AND c.i = w.i
 ), kept AS (
   SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id
-), factors AS (
-  SELECT doc_id, count(*) FILTER (NOT follows) AS n FROM (SELECT doc_id, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) = i - 1, false) AS follows FROM hits) GROUP BY doc_id
 )
-SELECT s.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(f.n, 0) AS n_factors, sha256(coalesce(k.text, '')) AS kept_sha256
-FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id LEFT JOIN factors f ON f.doc_id = s.doc_id
+SELECT s.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id
 """
 
 

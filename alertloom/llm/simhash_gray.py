@@ -15,7 +15,9 @@ found by star contraction.
 Defined results: a null or empty text has fingerprint zero and is linked like
 any other; rows that repeat share their component; a null doc_id never names a
 component unless all its members' ids are null; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored, and kept under any name by
+``drop_near_duplicates``, which decides by row: ids that repeat with other
+texts are other rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import checked_columns, ship_by_value, written
+from alertloom.llm.common import checked_columns, row_key, sheltered, ship_by_value, written
 from alertloom.llm.graph import connected_components
 
 BITS = 64
@@ -68,16 +70,16 @@ def fingerprint(text: bytes, width: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's bits as a signed long."""
-    docs = checked_columns(docs, "doc_id", "text")
+    """(doc_id, key, fp): the row's key, and the fingerprint's bits as a signed long."""
+    docs = checked_columns(docs, "doc_id", "text").select("doc_id", "text", row_key().alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             found = np.array([fingerprint(x.as_py() or b"", width, seed) for x in texts], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": pa.array(found.view(np.int64))})
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, fp bigint")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -171,32 +173,48 @@ def gray_links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, distance: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
+def first_row() -> Column:
+    """Aggregate: doc_id and key of the row that stands for a group."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
+
+
+def _linked(docs: DataFrame, width: int, seed: int, distance: int) -> DataFrame:
+    """(doc_id, key, fp, component_id, first) for every row of ``docs``; first: the key of the component's first row."""
     spark = docs.sparkSession
     prints = written(spark, fingerprints(docs, width, seed), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), first_row().alias("first"))
     labels = connected_components(gray_links(distinct, distance))
-    named = distinct.join(labels, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "at")
-    by_fp = named.join(smallest, F.col("root") == F.col("at")).select(F.col("fp").alias("of"), "component_id")
-    return prints.join(by_fp, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(name_components(distinct, labels, "fp"), F.col("fp") == F.col("of")).drop("of")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, distance: int = MAX_DISTANCE) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
+    return _linked(docs, width, seed, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def name_components(distinct: DataFrame, labels: DataFrame, vertex: str) -> DataFrame:
+    """(of, component_id, first) for every vertex of ``distinct`` (vertex, least, first)."""
+    named = distinct.join(labels, F.col(vertex) == F.col("vertex"), "left").select(F.col(vertex).alias("of"), "least", "first", F.coalesce("component", vertex).alias("root"))
+    whole = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first")["key"].alias("first_key")).withColumnRenamed("root", "at")
+    return named.join(whole, F.col("root") == F.col("at")).select("of", "component_id", F.col("first_key").alias("first"))
 
 
-def keep_smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Keep one document of each component (doc_id, component_id): its smallest doc_id; of rows that share that id, one.
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Keep the first row of each component, given as (key, first) with keys as ``row_key`` makes them.
 
-    Rows without a doc_id are kept: they can't be told apart.
+    That is the row of the smallest doc_id, one without doc_id only where none has
+    any; of several with that id the one of the smallest key; of rows that share
+    doc_id and text, one. Columns and their names stay as they are.
     """
-    losers = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(losers, F.col("doc_id") == F.col("gone"), "left_anti")
-    with_id = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.where("doc_id is null"))
+    losers = groups.where(F.col("key") != F.col("first")).select(F.col("key").alias("gone")).distinct()
+    held, restore = sheltered(docs, "doc_id", "text")
+    kept = held.withColumn("row key", row_key()).join(losers, F.col("row key") == F.col("gone"), "left_anti")
+    return restore(kept.dropDuplicates(["row key"]))
 
 
-def drop_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
-    """Keep one document of each component, as ``keep_smallest`` says."""
-    return keep_smallest(docs, near_duplicates(docs, **options))
+def drop_near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, distance: int = MAX_DISTANCE) -> DataFrame:
+    """Keep one row of each component, as ``keep_first`` says."""
+    return keep_first(docs, _linked(docs, width, seed, distance))
 
 
 ship_by_value(__name__)

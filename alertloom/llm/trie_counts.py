@@ -1,17 +1,16 @@
 """Token counts by dynamic programming over a trie of pre-tokens.
 
-Distinct pre-tokens (words behind their mark) go into a trie. Going down, each
+Distinct pre-tokens (words behind their mark) are inserted in a trie. Each new
 node gets the best score of any segmentation of its path, and that
 segmentation's number of pieces: the pieces that may end there are the path's
 suffixes, so a shared prefix is worked out once for all words below it. A
-word's count is stored where it ends. Of equally good segmentations the one
-with fewer pieces counts. A document's count is the sum over its words.
-
-The trie is built per batch of rows and walked by sorted words, so only the
-path in hand is kept; counts of recent words are remembered up to a bound.
-Nothing is exchanged. Defined results: null and empty texts have no tokens;
-repeated rows give repeated results; an empty table gives an empty result;
-extra columns are ignored.
+word's count is the one stored where it ends. Of equally good segmentations the
+one with fewer pieces counts. A document's count is the sum over its words.
+
+A worker keeps its trie from batch to batch and starts a new one beyond
+``MOST_NODES``. Nothing is exchanged. Defined results: null and empty texts have
+no tokens; repeated rows give repeated results; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,39 +24,56 @@ from pyspark.sql import DataFrame
 from alertloom.llm.common import checked_columns, ship_by_value
 from alertloom.llm.unigram_vocab import MARK, Lattice
 
-#: Distinct words whose counts a worker remembers.
-REMEMBERED = 400_000
+#: Nodes of a worker's trie; one word may exceed them by its length.
+MOST_NODES = 1_000_000
+#: Words up to this many bytes are also looked up whole, without going down the trie again.
+SHORT = 64
 PART = 1024
 
 
-class PieceTrie:
-    """The reversed vocabulary: finds the pieces that end at a position, going backwards."""
+class PretokenTrie:
+    """Pre-tokens by their bytes; each node holds its path's best score and number of pieces."""
 
     def __init__(self, pieces: list[bytes], scores: list[float]) -> None:
+        #: The vocabulary reversed: finds the pieces that end at a place, going backwards.
         self.backwards = Lattice([p[::-1] for p in pieces], scores)
-
-    def terminal_counts(self, words: list[bytes]) -> list[int]:
-        """Number of pieces in the best segmentation of each word; ``words`` sorted, each behind its mark."""
-        step, piece_at, scores = self.backwards.steps.get, self.backwards.piece_at, self.backwards.scores
-        best, counts, path, out = [0.0], [0], b"", []
-        for word in words:
-            shared, most = 0, min(len(path), len(word))
-            while shared < most and path[shared] == word[shared]:
-                shared += 1
-            del best[shared + 1 :], counts[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                top, fewest, node, start = -1e300, 0, 0, end
-                while start and (node := step(node << 8 | word[start - 1])) is not None:
-                    start -= 1
-                    if (i := piece_at[node]) >= 0:
-                        score = best[start] + scores[i]
-                        if score > top or (score == top and counts[start] + 1 < fewest):
-                            top, fewest = score, counts[start] + 1
-                best.append(top)
-                counts.append(fewest)
-            out.append(counts[-1])
-            path = word
-        return out
+        self.clear()
+
+    def clear(self) -> None:
+        self.children: dict[int, int] = {}
+        self.best, self.counts = [0.0], [0]
+        self.short: dict[bytes, int] = {}
+
+    def terminal_count(self, word: bytes) -> int:
+        """Number of pieces in the best segmentation of a word behind its mark, which is inserted if it is new."""
+        known = self.short.get(word)
+        if known is not None:
+            return known
+        if len(self.best) > MOST_NODES:
+            self.clear()
+        children, path, node = self.children, [0], 0
+        for end, byte in enumerate(word, 1):
+            node = children.get(edge := node << 8 | byte)
+            if node is None:
+                node = children[edge] = len(self.best)
+                self._score(word, end, path)
+            path.append(node)
+        if len(word) <= SHORT:
+            self.short[word] = self.counts[node]
+        return self.counts[node]
+
+    def _score(self, word: bytes, end: int, path: list[int]) -> None:
+        """Score the new node at ``end``, from its ancestors on ``path``."""
+        step, piece_at, scores, best, counts = self.backwards.steps.get, self.backwards.piece_at, self.backwards.scores, self.best, self.counts
+        top, fewest, reverse, start = -1e300, 0, 0, end
+        while start and (reverse := step(reverse << 8 | word[start - 1])) is not None:
+            start -= 1
+            if (i := piece_at[reverse]) >= 0:
+                score = best[path[start]] + scores[i]
+                if score > top or (score == top and counts[path[start]] + 1 < fewest):
+                    top, fewest = score, counts[path[start]] + 1
+        best.append(top)
+        counts.append(fewest)
 
 
 def count_tokens(docs: DataFrame, pieces: list[bytes], scores: list[float]) -> DataFrame:
@@ -66,22 +82,16 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], scores: list[float]) -> D
     given = docs.sparkSession.sparkContext.broadcast((pieces, scores))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PieceTrie(*given.value)
-        known: dict[bytes, int] = {}
+        trie = PretokenTrie(*given.value)
         for batch in batches:
             for low in range(0, batch.num_rows, PART):
                 part = batch.slice(low, PART)
                 texts = [Counter((x.as_py() or b"").lower().split()) for x in part.column("text").cast(pa.binary())]
-                fresh = sorted({w for t in texts for w in t if w not in known})
-                if len(known) + len(fresh) > REMEMBERED:
-                    known.clear()
-                    fresh = sorted({w for t in texts for w in t})
-                known.update(zip(fresh, trie.terminal_counts([MARK + w for w in fresh]), strict=True))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id"),
                         "n_words": pa.array([t.total() for t in texts], pa.int64()),
-                        "n_tokens": pa.array([sum(n * known[w] for w, n in t.items()) for t in texts], pa.int64()),
+                        "n_tokens": pa.array([sum(n * trie.terminal_count(MARK + w) for w, n in t.items()) for t in texts], pa.int64()),
                         "n_distinct_words": pa.array([len(t) for t in texts], pa.int64()),
                     }
                 )

@@ -44,6 +44,7 @@ class Lattice:
         #: node * 256 + byte -> next node; node -> piece that ends there, or -1.
         self.steps: dict[int, int] = {}
         self.piece_at = [-1]
+        self.longest = max(map(len, pieces), default=0)
         for i, piece in enumerate(pieces):
             node = 0
             for byte in piece:
@@ -54,10 +55,10 @@ class Lattice:
                 node = following
             self.piece_at[node] = i
 
-    def arcs(self, word: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, piece) of every piece in the word, by start."""
+    def arcs(self, word: bytes, low: int, high: int) -> list[tuple[int, int, int]]:
+        """(start, end, piece) of every piece in the word that starts from ``low`` to ``high`` - 1, by start."""
         step, piece_at, n, out = self.steps.get, self.piece_at, len(word), []
-        for start in range(n):
+        for start in range(low, high):
             node, end = 0, start
             while end < n and (node := step(node << 8 | word[end])) is not None:
                 end += 1
@@ -66,19 +67,24 @@ class Lattice:
         return out
 
     def forward(self, word: bytes) -> float:
-        """Log probability of all segmentations together: a forward recursion in log space."""
+        """Log probability of all segmentations together: a forward recursion in log space.
+
+        Only as many positions are held as the longest piece spans.
+        """
         step, piece_at, scores, n = self.steps.get, self.piece_at, self.scores, len(word)
-        reached: list[list[float]] = [[] for _ in range(n + 1)]
+        ring = min(n, self.longest) + 1
+        reached: list[list[float]] = [[] for _ in range(ring)]
         reached[0].append(0.0)
         for start in range(n):
-            here = reached[start]
+            here = reached[start % ring]
             alpha = here[0] if len(here) == 1 else log_sum(here)
+            here.clear()
             node, end = 0, start
             while end < n and (node := step(node << 8 | word[end])) is not None:
                 end += 1
                 if (i := piece_at[node]) >= 0:
-                    reached[end].append(alpha + scores[i])
-        return log_sum(reached[n])
+                    reached[end % ring].append(alpha + scores[i])
+        return log_sum(reached[n % ring])
 
 
 def log_sum(values: list[float]) -> float:

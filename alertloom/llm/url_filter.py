@@ -1,7 +1,8 @@
 """URL filter: path rules first, then a blocked Bloom filter of listed canonical URLs with an exact check.
 
-A listed entry is a canonical URL ``host/path``. One whose path is ``/`` covers
-its host and all subdomains, any other covers just itself. Each distinct URL
+A listed entry is a URL ``host/path``, made canonical like the pages' own. One
+whose canonical path is ``/`` covers its host and all subdomains, any other
+covers just itself. Each distinct URL
 yields its probes: every host suffix as a site, and its own canonical form. A
 probe selects one block of the filter by one hash and tests one bit in each of
 the block's eight words by another; possible hits go on to a hash join with
@@ -78,6 +79,12 @@ def canonical_path(path: Column) -> Column:
     return F.when(bare == "", "/").otherwise(bare)
 
 
+def canonical_entry(entry: Column) -> Column:
+    """Host and path of a listed URL without scheme, both canonical."""
+    host, path = F.regexp_extract(entry, "^[^/?#]*", 0), F.regexp_extract(entry, "^[^/?#]*([^?#]*)", 1)
+    return F.concat(canonical_host(lower_ascii(host)), canonical_path(path))
+
+
 def probes_of(host: Column, path: Column) -> Column:
     """Canonical entries that would list a URL: each host suffix as a site, and the URL itself."""
     name = canonical_host(host)
@@ -120,7 +127,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataF
     Returns page_id, host, path, rule and verdict (allow or block).
     """
     rows = checked_columns(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    entries = checked_columns(listed, "entry").where("entry is not null").distinct()
+    entries = checked_columns(listed, "entry").where("entry is not null").select(canonical_entry(F.col("entry")).alias("entry")).distinct()
     urls = rows.select(F.col("host").alias("on_host"), F.col("path").alias("on_path")).where("host <> ''").distinct()
     probes = urls.select("on_host", "on_path", F.explode(probes_of(F.col("on_host"), F.col("on_path"))).alias("probe"))
     hits = listed_hits(probes, entries).select("on_host", "on_path").distinct()

@@ -85,12 +85,8 @@ def test_components_of_chains_and_stars(spark):
 # --- substring dedup
 
 
-@pytest.mark.parametrize("block_bytes", [2_000, 10_000_000])
-def test_repeats_are_removed(spark, docs, rows, no_docs, monkeypatch, block_bytes):
-    monkeypatch.setattr(rlz_dedup, "BLOCK_BYTES", block_bytes)
-    monkeypatch.setattr(rlz_dedup, "PIECE_BYTES", 700)
-    extra = spark.createDataFrame([(None, rows[2][1], None, None, None, None), (rows[0][0], rows[2][1], None, None, None, None)], SCHEMA)
-    every = [(r[0], r[1]) for r in rows] + [(None, rows[2][1]), (rows[0][0], rows[2][1])]
+def without_repeats(every):
+    """(doc_id, words, removed, digest, kept) by a dictionary of all windows."""
     first = {}
     for doc_id, text in every:
         w = words_of(text)
@@ -106,10 +102,75 @@ def test_repeats_are_removed(spark, docs, rows, no_docs, monkeypatch, block_byte
                 gone[k : k + 13] = [True] * 13
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         want.append((doc_id, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    return want
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[3]))
+
+
+def removed(df):
+    return by_id((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in df.collect())
+
+
+@pytest.mark.parametrize("block_bytes", [2_000, 10_000_000])
+@pytest.mark.parametrize("asked_bytes", [300, 10_000_000])
+def test_repeats_are_removed(spark, docs, rows, no_docs, monkeypatch, block_bytes, asked_bytes):
+    monkeypatch.setattr(rlz_dedup, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(rlz_dedup, "ASKED_BYTES", asked_bytes)
+    monkeypatch.setattr(rlz_dedup, "PIECE_BYTES", 700)
+    extra = spark.createDataFrame([(None, rows[2][1], None, None, None, None), (rows[0][0], rows[2][1], None, None, None, None)], SCHEMA)
+    every = [(r[0], r[1]) for r in rows] + [(None, rows[2][1]), (rows[0][0], rows[2][1])]
     got = rlz_dedup.remove_repeats(docs.unionByName(extra), keep_text=True)
-    key = lambda r: (r[0] is not None, r[0] or 0, r[3])
-    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in got.collect()), key=key) == sorted(want, key=key)
-    assert rlz_dedup.remove_repeats(no_docs).count() == 0
+    assert removed(got) == by_id(without_repeats(every))
+    texts = {}
+    for doc_id, text in every:
+        texts.setdefault(doc_id, []).append(words_of(text))
+    found = 0
+    for r in got.where("size(factors) > 0").collect():
+        for f in r.factors:
+            found += 1
+            sources = [w[f.source_word : f.source_word + f.n_words] for w in texts[f.source_id]]
+            assert f.source_id < r.doc_id and f.n_words >= 13 and any(w[f.first_word : f.first_word + f.n_words] in sources for w in texts[r.doc_id])
+    assert found > 10 and rlz_dedup.remove_repeats(no_docs).count() == 0
+
+
+def test_factors_are_the_longest_matches():
+    rnd = random.Random(6)
+    prose = lambda k: [str(rnd.randrange(10**6)) for _ in range(k)]
+    whole = prose(400)
+    sources = [whole[:60], prose(20) + whole[:200] + prose(20), whole[100:130], whole[188:300] + prose(5)]
+    block = rlz_dedup.Block([packed([(i, " ".join(w).encode()) for i, w in enumerate(sources)])])
+    line = " ".join(whole[:300]).encode()
+    windows = rlz_dedup._runs(rlz_dedup.word_hashes([line])[0], 13, 1)
+    factors = rlz_dedup.Reference(block, windows).factor(line.split(), windows, 99)
+    assert [f[:4] for f in factors if not f[4]] == [(0, 200, 1, 20), (200, 100, 3, 12)]
+    assert [f[:4] for f in factors if f[4]] == [(w, 13, 3, w - 188) for w in range(188, 200)]
+
+
+def packed(rows):
+    import pickle
+
+    import zstandard
+
+    return zstandard.ZstdCompressor().compress(pickle.dumps(rows))
+
+
+def test_windows_of_equal_hash_are_told_apart(spark, docs, rows, monkeypatch):
+    """Thousands of windows share 64 bits; where they share all 96 the run fails instead of removing wrong words."""
+    runs = rlz_dedup._runs
+    monkeypatch.setattr(rlz_dedup, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(rlz_dedup, "PIECE_BYTES", 700)
+    monkeypatch.setattr(rlz_dedup, "_runs", lambda h, width, seed: runs(h, width, seed) & np.uint64(0xF0 if seed == 1 else 2**64 - 1))
+    assert removed(rlz_dedup.remove_repeats(docs, keep_text=True)) == by_id(without_repeats([(r[0], r[1]) for r in rows]))
+    monkeypatch.setattr(rlz_dedup, "_runs", lambda h, width, seed: runs(h, width, seed) & np.uint64(0xF0 if seed in (1, 3) else 2**64 - 1))
+    with pytest.raises(Exception, match="share a hash"):
+        rlz_dedup.remove_repeats(docs).collect()
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        rlz_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 # --- decontamination
@@ -199,8 +260,9 @@ def test_pipeline_equals_brute_force(spark):
         rejected = any(all(t.holds(x)[0] for t in rule.tests) for rule in rules)
         if n >= 20 and 100 * repeated <= 30 * n and not rejected:
             texts[r.doc_id] = r.text
-    prints = {i: brute_fingerprint(t) for i, t in texts.items()}
-    groups = components([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2], prints)
+    words = {i: words_of(ascii_lower(t)) for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    groups = components([(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], sets)
     texts = {i: t for i, t in texts.items() if groups[i] == i}
     items = [(lsi_decontam.fold(r.text.encode()), lsi_decontam.answer_of(r.text.encode())) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
 

@@ -93,10 +93,12 @@ SECRETS = [
 ]
 
 
-def test_secret_spans(spark, docs, no_docs):
+def test_secret_spans(spark, docs, rows, no_docs):
     df = spark.createDataFrame([*enumerate(SECRETS), (90, None)], "doc_id bigint, text string")
-    for r in secret_scan.scan_secrets(df.unionByName(docs.select("doc_id", "text")) if False else df).collect():
-        text = SECRETS[r.doc_id] if r.doc_id < 90 else ""
+    every = dict(enumerate(SECRETS)) | {90: ""} | {1000 + r[0]: r[1] or "" for r in rows}
+    both = df.unionByName(docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    for r in secret_scan.scan_secrets(both).collect():
+        text = every[r.doc_id]
         base = base_of(text)
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), text
         spans = [(int(a), secret_scan.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
@@ -180,6 +182,27 @@ def test_quality_counts_and_verdicts(spark, docs, rows, no_docs):
     assert kept.columns == docs.columns and kept.count() == decision_list.judge(docs, labels.limit(0)).where("kept").count()
 
 
+def test_learned_verdicts_equal_brute_force(spark):
+    """``kept`` with learned rules, applied to plain counts of every document of the smallest tables."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = decision_list.learn(*decision_list.training_rows(docs, labels))
+    got = {r.doc_id: r for r in decision_list.judge(docs, labels).collect()}
+    fired = 0
+    for d in docs.collect():
+        text = d.text or ""
+        n, chars, symbols, dup, repeated = surface_of(text)
+        w, lines = words_of(text), [x for x in text.split("\n") if x.encode().split()]
+        per = lambda x, y: x / y if y else 0.0
+        values = [n, per(chars, n), per(symbols, n), per(text.count("!"), n), per(len(re.findall("[A-Z]", text)), chars), per(len(re.findall("[0-9]", text)), chars), per(dup, len(lines)), per(repeated, n), per(len(set(w)), n), per(n, len(lines))]
+        x = np.array([values], float)
+        first = next((k for k, rule in enumerate(rules, 1) if all(t.holds(x)[0] for t in rule.tests)), None)
+        failed = n < 20 or 100 * repeated > 30 * n
+        fired += first is not None
+        assert (got[d.doc_id].rule, got[d.doc_id].kept) == (first, not failed and first is None), d.doc_id
+    assert rules and fired
+
+
 def test_learned_rules_hold_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -196,7 +219,7 @@ def test_learned_rules_hold_out(spark):
 def test_url_rules_and_list(spark):
     urls = ["http://Shop.Example.com/en/825?x=1", "https://example.com/en/7a", "https://a.net/de/1", "https://example.net/de/8/9", "ftp://x.org/es/", "http://WWW.spam.example.org:80/q", "no scheme", None, "http://", "http://u@deep.spam.example.org./#f", "https://org?x", "http://spam.example.org.evil.io/", "x://page.io/only/this/", "x://page.io/only"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, urls[5], "h")], "page_id bigint, url string, rule string")
-    listed = spark.createDataFrame([("spam.example.org/",), ("page.io/only/this",), (None,), ("spam.example.org/",)], "entry string")
+    listed = spark.createDataFrame([("www.SPAM.example.org./",), ("page.io/only/this/index.html",), (None,), ("spam.example.org",)], "entry string")
     rules = [url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "example.com", "/en/7"), url_filter.Rule("allow", "net", "/de/"), url_filter.Rule("block", "example.net", "/de/8"), url_filter.Rule("block", "org", "/es/")]
     got = {r.page_id: r for r in url_filter.filter_urls(pages, listed, rules).collect()}
     assert [got[i].verdict for i in range(len(urls))] == ["block", "allow", "allow", "block", "block", "block", "allow", "allow", "allow", "block", "allow", "allow", "block", "allow"]
@@ -237,7 +260,7 @@ def test_lattice_sums_all_segmentations(word):
         for x in s:
             want[x] += 3 * p / total
     assert all(sums[lattice_index] == pytest.approx(want[PIECES[lattice_index]]) for lattice_index in np.flatnonzero(sums))
-    assert trie_counts.PieceTrie(PIECES, SCORES).terminal_counts([word]) == [min((-p, len(s)) for p, s in every)[1]]
+    assert trie_counts.PretokenTrie(PIECES, SCORES).terminal_count(word) == min((-p, len(s)) for p, s in every)[1]
 
 
 def test_scores_follow_the_counts(docs, rows, no_docs, monkeypatch):
