@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom.functions.tokens import BENIGN
+from alertloom.operators.ranges import running, with_previous
 
 
 def is_attack() -> Column:
@@ -25,7 +26,7 @@ def signature_classes(alerts: DataFrame) -> DataFrame:
 def activity_by_bin(alerts: DataFrame, unit: str = "day") -> DataFrame:
     """Distinct active signatures per time bin, by class."""
     classes = signature_classes(alerts).select(F.col("signature").alias("s__"), "cls")
-    active = alerts.select(F.date_trunc(unit, F.timestamp_seconds("time")).alias("bin"), "signature").distinct().join(F.broadcast(classes), F.col("signature") == F.col("s__"))
+    active = alerts.select(F.date_trunc(unit, F.timestamp_seconds("time")).alias("bin"), "signature").distinct().join(classes, F.col("signature") == F.col("s__"))
     return active.groupBy(F.date_format("bin", "yyyy-MM-dd HH:mm:ss").alias("bin")).agg(*[F.count_if(F.col("cls") == c).alias(c) for c in ("benign", "attack", "mixed")], F.count("*").alias("total"))
 
 
@@ -54,10 +55,13 @@ def overview(alerts: DataFrame) -> DataFrame:
 
 def concentration(alerts: DataFrame, key: str, share: float = 0.9, top: int = 3) -> DataFrame:
     """Share of the top values of a field, and how many values make up a share of all rows."""
-    per = alerts.groupBy(key).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("n"), key)
-    ranked = per.select("n", F.row_number().over(order).alias("r"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.sum("n").over(Window.partitionBy()).alias("t"))
-    return ranked.agg((F.sum(F.when(F.col("r") <= top, F.col("n"))) / F.max("t")).alias("top_share"), F.min(F.when(F.col("c") >= share * F.col("t"), F.col("r"))).alias("n_for_share"), F.count("*").alias("n_values"))
+    per = alerts.groupBy(key).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("c")).withColumn("rows", F.col("n") * F.col("c"))
+    # Values of the same count are one point: before_c values and before_rows rows come ahead of it.
+    points = running(per, "n", ["c", "rows"], descending=True)
+    taken = F.greatest(F.least("c", F.lit(top) - F.col("before_c")), F.lit(0)) * F.col("n")
+    lacking = F.lit(share) * F.col("total_rows") - F.col("before_rows")
+    reached = F.when(lacking <= F.col("rows"), F.col("before_c") + F.greatest(F.ceil(lacking / F.col("n") - 1e-9), F.lit(1)))
+    return points.agg((F.sum(taken) / F.max("total_rows")).alias("top_share"), F.min(reached).cast("int").alias("n_for_share"), F.max("total_c").alias("n_values"))
 
 
 def temporal_concentration(alerts: DataFrame, bins: int = 1000, shares: tuple[float, ...] = (0.01, 0.05, 0.1)) -> DataFrame:
@@ -77,8 +81,7 @@ def host_summary(alerts: DataFrame, top: int = 5) -> DataFrame:
     codes = alerts.groupBy("host", "short").agg(F.count("*").alias("n"))
     ranked = codes.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "short"))).where(F.col("r") <= top)
     tops = ranked.groupBy(F.col("host").alias("h__")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "short"))), lambda x: x["short"]), ",").alias("top_codes"))
-    gap = F.col("time") - F.lag("time").over(Window.partitionBy("host").orderBy("time", "row_id"))
-    per = alerts.withColumn("gap", gap).groupBy("host").agg(F.count("*").alias("n"), F.count_if(is_attack()).alias("n_attack"), F.percentile("gap", 0.5).alias("median_gap"))
+    per = with_previous(alerts, ["host"]).withColumn("gap", F.col("time") - F.col("previous__")).groupBy("host").agg(F.count("*").alias("n"), F.count_if(is_attack()).alias("n_attack"), F.percentile("gap", 0.5).alias("median_gap"))
     return per.join(tops, F.col("host") == F.col("h__")).drop("h__")
 
 

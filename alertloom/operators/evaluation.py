@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.operators.ranges import running
+
 
 def balanced_weight(rows: DataFrame, label: str = "y") -> DataFrame:
     """Adds weight: rows of both classes weigh the same in sum."""
@@ -84,10 +86,17 @@ def decay(rows: DataFrame, config: str, horizon: str, value: str) -> DataFrame:
     return per.withColumn("drop", F.col("first") - F.col("last"))
 
 
+def ranked(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the rank of each row's value from 1, ties averaged, from counts by distinct value."""
+    points = rows.groupBy(F.col(value).alias("v__")).agg(F.count("*").alias("c__"))
+    ranks = running(points, "v__", ["c__"]).select("v__", (F.col("before_c__") + (F.col("c__") + 1) / 2).alias(name))
+    return rows.join(ranks, F.col(value) == F.col("v__")).drop("v__")
+
+
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation, ties averaged."""
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-    return rows.select(rank(x).alias("rx"), rank(y).alias("ry")).agg(F.corr("rx", "ry").alias("spearman"))
+    """Rank correlation, ties averaged; pairs with a null are left out."""
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x__"), F.col(y).alias("y__"))
+    return ranked(ranked(pairs, "x__", "rx"), "y__", "ry").agg(F.corr("rx", "ry").alias("spearman"))
 
 
 def kendall(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:

@@ -6,12 +6,17 @@ group_id and method. Gaps split where they are larger than the limit, not equal.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.functions.tokens import safe_id
+from alertloom.operators.ranges import with_runs
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 UNKNOWN_HOST = "_unknown"
 
@@ -30,13 +35,17 @@ def fixed_window_host(alerts: DataFrame, seconds: int = 2) -> DataFrame:
     return alerts.withColumn("group_id", F.concat_ws(":", F.lit("fixed_window_host"), safe_id(host_key()), number)).withColumn("method", F.lit("fixed_window_host"))
 
 
-def _sessions(alerts: DataFrame, keys: list[Column], gap: int, method: str) -> DataFrame:
-    """Sessions by lag and running sum; the first alert names its session."""
-    order = Window.partitionBy(*keys).orderBy("time", "row_id")
-    fresh = F.coalesce((F.col("time") - F.lag("time").over(order) > gap).cast("int"), F.lit(1))
-    numbered = alerts.withColumn("number__", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    name = F.concat_ws(":", F.lit(method), *[safe_id(k) for k in keys], F.col("number__").cast("string"))
-    return numbered.withColumn("group_id", name).withColumn("method", F.lit(method)).drop("number__")
+def _keyed(alerts: DataFrame, keys: list[Column]) -> tuple[DataFrame, list[str]]:
+    names = [f"key{i}__" for i in range(len(keys))]
+    return alerts.withColumns(dict(zip(names, keys, strict=True))) if keys else alerts, names
+
+
+def _sessions(alerts: DataFrame, keys: list[Column], gap: int, method: str, width: int = 86_400) -> DataFrame:
+    """Sessions, numbered in time per key; a busy key is dealt over buckets of time."""
+    keyed, names = _keyed(alerts, keys)
+    numbered = with_runs(keyed, names, gap, width=max(width, gap))
+    name = F.concat_ws(":", F.lit(method), *[safe_id(F.col(k)) for k in names], F.col("run__").cast("string"))
+    return numbered.withColumn("group_id", name).withColumn("method", F.lit(method)).select(*alerts.columns, "group_id", "method")
 
 
 def time_delta_host(alerts: DataFrame, gap: int = 2) -> DataFrame:
@@ -45,50 +54,43 @@ def time_delta_host(alerts: DataFrame, gap: int = 2) -> DataFrame:
 
 
 def time_delta(alerts: DataFrame, gap: int = 2, bucket: int | None = None) -> DataFrame:
-    """Sessions over the whole stream, without one task for all of it.
-
-    A session can end only where two neighbouring alerts are more than the gap
-    apart. Alerts are cut into buckets of time (by default 1000 gaps); within
-    each, gaps are found by lag; the first alert of a bucket is compared with the
-    last alert before it, taken from one row per bucket. Session numbers are
-    a bucket's offset plus its own running count, so only rows per bucket, not
-    per alert, meet in one window.
-    """
-    width = bucket or 1000 * max(gap, 1)
-    cut = alerts.withColumn("bucket__", F.floor(F.col("time") / width))
-    inside = Window.partitionBy("bucket__").orderBy("time", "row_id")
-    marked = cut.withColumn("fresh__", (F.col("time") - F.lag("time").over(inside) > gap).cast("int"))
-    marked = marked.withColumn("running__", F.sum(F.coalesce("fresh__", F.lit(0))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    edges = marked.groupBy("bucket__").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.max("running__").alias("own"))
-    across = Window.orderBy("bucket__")
-    opened = F.coalesce((F.col("first") - F.lag("last").over(across) > gap).cast("int"), F.lit(1))
-    offsets = edges.withColumn("opened", opened).withColumn(
-        "offset", F.sum(F.col("opened")).over(across.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("own").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    found = marked.join(offsets.select(F.col("bucket__").alias("at__"), "offset"), F.col("bucket__") == F.col("at__"))
-    number = (F.col("offset") + F.col("running__")).cast("string")
-    return found.withColumn("group_id", F.concat(F.lit("time_delta:"), number)).withColumn("method", F.lit("time_delta")).select(*alerts.columns, "group_id", "method")
+    """Sessions over the whole stream, in buckets of time (by default 1000 gaps), without one task for all of it."""
+    return _sessions(alerts, [], gap, "time_delta", bucket or 1000 * max(gap, 1))
 
 
 def _capped(alerts: DataFrame, keys: list[Column], gap: int, span: int, method: str) -> DataFrame:
     """Sessions that also end where an alert is more than ``span`` after the session's first.
 
-    The cap makes each split depend on the one before. Sessions without a cap
-    are found first; the fold then runs within each of these, so a key's whole
-    history is never in one row.
+    The cap makes each split depend on the one before, so a key is folded in
+    order; but only over its distinct seconds, however many alerts they hold, and
+    one row at a time: nothing is collected.
     """
-    coarse = _sessions(alerts.withColumns({f"key{i}__": k for i, k in enumerate(keys)}), [F.col(f"key{i}__") for i in range(len(keys))] or [F.lit("all")], gap, method)
-    rows = coarse.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("time", "row_id"))).alias("run__"))
-    zero = F.struct(F.lit(None).cast("bigint").alias("anchor"), F.lit(0).alias("n"), F.array().cast("array<struct<row_id:bigint,n:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        split = acc["anchor"].isNull() | (x["time"] - acc["anchor"] > span)
-        n = acc["n"] + F.when(split, 1).otherwise(0)
-        return F.struct(F.when(split, x["time"]).otherwise(acc["anchor"]).alias("anchor"), n.alias("n"), F.array_append(acc["out"], F.struct(x["row_id"].alias("row_id"), n.alias("n"))).alias("out"))
-
-    parts = rows.select(F.col("group_id").alias("coarse__"), F.explode(F.aggregate("run__", zero, step, lambda acc: acc["out"])).alias("x"))
-    parts = parts.select(F.col("x.row_id").alias("row__"), F.concat_ws(".", "coarse__", F.col("x.n").cast("string")).alias("group_id"))
-    return alerts.join(parts, F.col("row_id") == F.col("row__")).drop("row__").withColumn("method", F.lit(method))
+    keyed, names = _keyed(alerts, keys)
+    ticks = keyed.select(*names, "time").distinct().repartition(*names).sortWithinPartitions(*names, "time")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        last_key = anchor = last = None
+        number = 0
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            out = []
+            for *key, time in zip(*columns, strict=True):
+                if key != last_key:
+                    last_key, anchor, last, number = key, None, None, 0
+                if time is not None:
+                    if anchor is None or time - last > gap or time - anchor > span:
+                        anchor, number = time, number + 1
+                    last = time
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*(f"at_{n}" for n in names), "at__", "n__"])
+
+    schema = "".join(f"at_{n} {keyed.schema[n].dataType.simpleString()}, " for n in names) + f"at__ {alerts.schema['time'].dataType.simpleString()}, n__ bigint"
+    folded = ticks.mapInArrow(fold, schema)
+    joined = keyed.join(folded, [F.col("time").eqNullSafe(F.col("at__")), *[F.col(n).eqNullSafe(F.col(f"at_{n}")) for n in names]])
+    name = F.concat_ws(":", F.lit(method), *[safe_id(F.col(n)) for n in names], F.col("n__").cast("string"))
+    return joined.select(*alerts.columns, name.alias("group_id"), F.lit(method).alias("method"))
 
 
 def capped_session(alerts: DataFrame, timeout: int = 60, length: int = 300) -> DataFrame:
@@ -97,10 +99,9 @@ def capped_session(alerts: DataFrame, timeout: int = 60, length: int = 300) -> D
 
 
 def capped_stream(alerts: DataFrame, timeout: int = 60, length: int = 300) -> DataFrame:
-    """Capped sessions over the whole stream."""
-    coarse = time_delta(alerts, timeout)
-    renamed = coarse.withColumnRenamed("group_id", "coarse__").drop("method")
-    return _capped(renamed, [F.col("coarse__")], timeout, length, "temporal").drop("coarse__")
+    """Capped sessions over the whole stream: no cap reaches beyond a pause, so each stretch between pauses is folded by itself."""
+    stretches = time_delta(alerts, timeout).withColumnRenamed("group_id", "stretch__").drop("method")
+    return _capped(stretches, [F.substring_index("stretch__", ":", -1)], timeout, length, "temporal").drop("stretch__")
 
 
 METHODS: dict[str, Callable[..., DataFrame]] = {

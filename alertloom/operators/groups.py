@@ -135,7 +135,7 @@ def split_stats(groups: DataFrame, fraction: float = 0.7) -> DataFrame:
     )
 
 
-def numbered_rows(rows: DataFrame, time: str = "start_ts", *ties: str, width: int = 86_400) -> DataFrame:
+def numbered_rows(rows: DataFrame, time: str = "start_ts", *ties: str, width: int = 600) -> DataFrame:
     """Adds rn (1, 2, ... by time and ties) and n_rows, without sorting everything in one task.
 
     Rows are numbered within buckets of time; a bucket's offset is the running

@@ -1,8 +1,8 @@
 """Evaluation metrics from scored rows (y: 0 or 1, score: double), exact and without sorting everything in one task.
 
 Everything is computed from counts by distinct score. Running sums over
-distinct scores are taken within ranges of the score and offset by the ranges'
-totals.
+distinct scores are taken within ranges that hold about as many scores each and
+offset by the ranges' totals.
 """
 
 from __future__ import annotations
@@ -10,19 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.operators.ranges import running
 
-def by_score(rows: DataFrame, buckets: int = 1000) -> DataFrame:
+
+def by_score(rows: DataFrame) -> DataFrame:
     """Per distinct score: positives and negatives at it, and at or above it (tp, fp)."""
     points = rows.groupBy("score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    ends = points.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).withColumn("k__", F.lit(1))
-    ranged = points.withColumn("k__", F.lit(1)).join(F.broadcast(ends), "k__").withColumn("bin", F.coalesce(F.floor(F.try_divide(F.col("score") - F.col("lo"), F.col("hi") - F.col("lo")) * buckets), F.lit(0)))
-    down = Window.partitionBy("bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    totals = ranged.groupBy("bin").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
-    above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    offsets = totals.select(F.col("bin").alias("at"), F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("op"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("on"), F.sum("bp").over(whole).alias("pos"), F.sum("bn").over(whole).alias("neg"))
-    joined = ranged.withColumn("cp", F.sum("p").over(down)).withColumn("cn", F.sum("n").over(down)).join(F.broadcast(offsets), F.col("bin") == F.col("at"))
-    return joined.select("score", "p", "n", (F.col("cp") + F.col("op")).alias("tp"), (F.col("cn") + F.col("on")).alias("fp"), "pos", "neg")
+    summed = running(points, "score", ["p", "n"], descending=True)
+    return summed.select("score", "p", "n", (F.col("p") + F.col("before_p")).alias("tp"), (F.col("n") + F.col("before_n")).alias("fp"), F.col("total_p").alias("pos"), F.col("total_n").alias("neg"))
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:

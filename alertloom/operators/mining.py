@@ -202,6 +202,51 @@ def item_sequences(steps: DataFrame, min_count: int, max_len: int = 3) -> DataFr
     return every.select("steps", F.size("steps").cast("bigint").alias("k"), "support_count")
 
 
+def itemset_sequences(steps: DataFrame, min_count: int, max_items: int = 3, max_steps: int | None = None) -> DataFrame:
+    """Frequent sequences of itemsets: (steps, n_items, n_steps, support_count); (gid, pos, item) in.
+
+    A pattern grows by an item in a strictly later step, or by a larger item in
+    its last step. A group keeps every place where a pattern's last step fits, as
+    an earlier end may lack the item that a later one has.
+    """
+    keep = steps.groupBy("item").agg(F.countDistinct("gid").alias("n__")).where(F.col("n__") >= min_count).select(F.col("item").alias("f__"))
+    rows = steps.join(keep, F.col("item") == F.col("f__"), "left_semi").select("gid", "item", "pos").distinct()
+    level = rows.select("gid", F.array(F.array("item")).alias("steps"), F.col("pos").alias("end"))
+    right = rows.select(F.col("gid").alias("g__"), F.col("item").alias("i__"), F.col("pos").alias("p__"))
+    count = lambda found: found.groupBy("steps").agg(F.countDistinct("gid").alias("support_count")).where(F.col("support_count") >= min_count)
+    out = [count(level)]
+    for _ in range(1, max_items):
+        base = level.join(out[-1].select(F.col("steps").alias("f__")), F.col("steps") == F.col("f__"), "left_semi")
+        firsts = base.where(F.size("steps") < (max_steps or max_items)).groupBy("gid", "steps").agg(F.min("end").alias("end"))
+        later = firsts.join(right, (F.col("gid") == F.col("g__")) & (F.col("end") < F.col("p__")))
+        later = later.select("gid", F.array_append("steps", F.array("i__")).alias("steps"), F.col("p__").alias("end"))
+        last = F.element_at("steps", -1)
+        wider = base.join(right, (F.col("gid") == F.col("g__")) & (F.col("end") == F.col("p__")) & (F.element_at(last, -1) < F.col("i__")))
+        wider = wider.select("gid", F.array_append(F.slice("steps", F.lit(1), F.size("steps") - 1), F.array_append(last, F.col("i__"))).alias("steps"), "end")
+        level = later.unionByName(wider)
+        out.append(count(level))
+    every = reduce(DataFrame.unionByName, out)
+    n_items = F.aggregate("steps", F.lit(0), lambda n, s: n + F.size(s))
+    return every.select("steps", n_items.cast("bigint").alias("n_items"), F.size("steps").cast("bigint").alias("n_steps"), "support_count")
+
+
+def sequence_support(patterns: DataFrame, sequences: DataFrame, column: str = "steps") -> DataFrame:
+    """Adds counts and supports per class of sequences of itemsets (array of arrays), by containment.
+
+    ``sequences``: (gid, group_label, context_steps). A pattern meets only the
+    groups that hold its rarest item.
+    """
+    items = F.array_distinct(F.flatten("context_steps"))
+    long = sequences.select("gid", "group_label", "context_steps", F.explode(items).alias("i__"))
+    counts = long.groupBy("i__").agg(F.count("*").alias("n__"))
+    posted = patterns.select(F.col(column).alias("of__"), F.explode(F.array_distinct(F.flatten(column))).alias("p__")).join(counts, F.col("p__") == F.col("i__"))
+    rarest = posted.groupBy("of__").agg(F.min_by("p__", F.struct("n__", "p__")).alias("key__"))
+    met = rarest.join(long, F.col("key__") == F.col("i__")).where(contains_steps_in_order(F.col("context_steps"), F.col("of__")))
+    hits = met.groupBy("of__").agg(*[F.count_if(F.col("group_label") == c).alias(f"count_{c}") for c in ("attack", "benign")])
+    joined = patterns.join(hits, F.col(column) == F.col("of__"), "left").drop("of__").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("count_attack", "count_benign")})
+    return cross_support(joined, sequences)
+
+
 def contains_items_in_order(steps: Column, pattern: Column) -> Column:
     """Whether the pattern's items occur in strictly later steps each; an empty pattern does."""
     zero = F.lit(0)
@@ -262,29 +307,49 @@ def contrast_survivors(stats: DataFrame, min_attack: float = 0.05, min_benign: f
     return stats.where((attack | benign) & ~fails)
 
 
-def or_pairs(firing: DataFrame, groups: DataFrame, min_gain: float = 0.02, min_diff: float = 0.05, min_confidence: float = 0.6) -> DataFrame:
-    """Disjunctions of two clauses by the union of the groups they fire for: (clause, gid, group_label) in.
+def or_disjunctions(firing: DataFrame, groups: DataFrame, max_clauses: int = 2, min_gain: float = 0.02, min_diff: float = 0.05, min_confidence: float = 0.6, leading: str = "attack") -> DataFrame:
+    """Disjunctions of 2 to ``max_clauses`` clauses by the union of the groups they fire for: (clause, gid, group_label) in.
 
-    Sizes of unions come from sizes and intersections. A pair is kept if its
-    coverage of the leading class gains enough on the better clause, its supports
-    differ enough and its confidence is high enough.
+    One is kept if its coverage of the leading class gains enough on its best
+    part (itself without one clause), its supports differ enough and its
+    confidence is high enough. As a clause adds at most its own coverage, only
+    clauses that cover ``min_gain`` of the class can take part: at most the mean
+    number of clauses a group over ``min_gain``. Sizes of unions follow from
+    those of intersections, counted once a group and combination.
     """
-    sizes = class_sizes(groups).withColumn("k__", F.lit(1))
+    own, other = ("attack", "benign") if leading == "attack" else ("benign", "attack")
     count = lambda label: F.count_if(F.col("group_label") == label)
-    one = firing.groupBy("clause").agg(count("attack").alias("a"), count("benign").alias("b"))
-    right = firing.select(F.col("clause").alias("other"), F.col("gid").alias("g__"))
-    both = firing.join(right, (F.col("gid") == F.col("g__")) & (F.col("clause") < F.col("other"))).groupBy("clause", "other").agg(count("attack").alias("ia"), count("benign").alias("ib"))
-    left, other = one.select(F.col("clause").alias("l__"), F.col("a").alias("la"), F.col("b").alias("lb")), one.select(F.col("clause").alias("r__"), F.col("a").alias("ra"), F.col("b").alias("rb"))
-    pairs = left.join(other, F.col("l__") < F.col("r__")).join(both, (F.col("l__") == F.col("clause")) & (F.col("r__") == F.col("other")), "left")
-    pairs = pairs.withColumn("k__", F.lit(1)).join(F.broadcast(sizes), "k__")
-    ua, ub = F.col("la") + F.col("ra") - F.coalesce("ia", F.lit(0)), F.col("lb") + F.col("rb") - F.coalesce("ib", F.lit(0))
-    out = pairs.select(
-        F.concat_ws(" OR ", "l__", "r__").alias("pattern"), ua.alias("count_attack"), ub.alias("count_benign"),
-        (ua / F.col("n_attack")).alias("support_attack"), (ub / F.col("n_benign")).alias("support_benign"),
-        ((ua - F.greatest("la", "ra")) / F.col("n_attack")).alias("gain"),
+    sizes = class_sizes(groups).select(F.col(f"n_{own}").alias("n_own"), F.col(f"n_{other}").alias("n_other"), F.lit(1).alias("k__"))
+    one = firing.groupBy("clause").agg(count(own).alias("a")).withColumn("k__", F.lit(1)).join(F.broadcast(sizes), "k__").where(F.col("a") >= F.lit(min_gain) * F.col("n_own") - EPSILON)
+    strong = firing.join(one.select(F.col("clause").alias("s__")), F.col("clause") == F.col("s__"), "left_semi")
+    held = strong.groupBy("gid", "group_label").agg(F.array_sort(F.collect_set("clause")).alias("held__"))
+    # How often exactly these clauses fire together: all that unions depend on.
+    cells = held.groupBy("held__").agg(count(own).alias("a"), count(other).alias("b"))
+    names = one.agg(F.array_sort(F.collect_set("clause")).alias("names__")).withColumn("k__", F.lit(1))
+    # Each combination once; as many as clauses over max_clauses, from the few strong ones.
+    tuples = names.select(F.explode(combinations(F.col("names__"), max_clauses)).alias("items"))
+    meet = cells.select("a", "b", F.explode(combinations(F.col("held__"), max_clauses)).alias("part__"))
+    inside = meet.groupBy("part__").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    parts = tuples.select("items", F.explode(combinations(F.col("items"), max_clauses)).alias("p__")).join(inside, F.col("p__") == F.col("part__"), "left")
+    sign = F.when(F.size("p__") % 2 == 1, 1).otherwise(-1)
+    unions = parts.groupBy("items").agg(F.sum(sign * F.coalesce("a", F.lit(0))).alias("ua"), F.sum(sign * F.coalesce("b", F.lit(0))).alias("ub"))
+    smaller = unions.select(F.col("items").alias("sub__"), F.col("ua").alias("part_a"))
+    without = F.transform("items", lambda x: F.array_remove("items", x))
+    grown = unions.where(F.size("items") > 1).select("items", "ua", "ub", F.explode(without).alias("less__")).join(smaller, F.col("less__") == F.col("sub__"))
+    best = grown.groupBy("items", "ua", "ub").agg(F.max("part_a").alias("best__")).withColumn("k__", F.lit(1)).join(F.broadcast(sizes), "k__")
+    out = best.select(
+        F.array_join("items", " OR ").alias("pattern"), F.size("items").cast("bigint").alias("n_clauses"), F.col("ua").alias(f"count_{own}"), F.col("ub").alias(f"count_{other}"),
+        (F.col("ua") / F.col("n_own")).alias(f"support_{own}"), (F.col("ub") / F.col("n_other")).alias(f"support_{other}"), ((F.col("ua") - F.col("best__")) / F.col("n_own")).alias("gain"),
     )
-    conf = F.coalesce(F.try_divide(F.col("support_attack"), F.col("support_attack") + F.col("support_benign")), F.lit(0.0))
-    return out.withColumn("confidence_attack", conf).where((F.col("gain") >= min_gain) & (F.abs(F.col("support_attack") - F.col("support_benign")) >= min_diff) & (conf >= min_confidence))
+    mine, theirs = F.col(f"support_{own}"), F.col(f"support_{other}")
+    conf = F.coalesce(F.try_divide(mine, mine + theirs), F.lit(0.0))
+    kept = (F.col("gain") >= min_gain - EPSILON) & (F.abs(mine - theirs) >= min_diff) & (conf >= min_confidence)
+    return out.withColumn(f"confidence_{own}", conf).where(kept)
+
+
+def or_pairs(firing: DataFrame, groups: DataFrame, min_gain: float = 0.02, min_diff: float = 0.05, min_confidence: float = 0.6) -> DataFrame:
+    """Disjunctions of two clauses, see ``or_disjunctions``."""
+    return or_disjunctions(firing, groups, 2, min_gain, min_diff, min_confidence).drop("n_clauses")
 
 
 def budget(patterns: DataFrame, k: int, score: str, name: str, cls: str | None = None) -> DataFrame:
@@ -317,6 +382,15 @@ def firing_jaccard(firing: DataFrame) -> DataFrame:
 
 
 def identical_firing(firing: DataFrame) -> DataFrame:
-    """One feature of those that fire for the same groups: the first by name."""
-    ids = firing.groupBy("feature").agg(F.count("*").alias("n"), F.sum(F.xxhash64("gid").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64(F.col("gid"), F.lit(1))).alias("h2"))
-    return ids.groupBy("n", "h1", "h2").agg(F.min("feature").alias("feature"), F.count("*").alias("n_same")).select("feature", "n_same", F.col("n").alias("n_fires"))
+    """One feature of those that fire for the same groups: the first by name. Digests only propose; the groups decide."""
+    fires = firing.select("feature", "gid").distinct()
+    ids = fires.groupBy("feature").agg(F.count("*").alias("n"), F.sum(F.xxhash64("gid").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64(F.col("gid"), F.lit(1))).alias("h2"))
+    proposed = ids.select("feature", "n", F.min("feature").over(Window.partitionBy("n", "h1", "h2")).alias("first"))
+    twins = proposed.where("feature <> first").select(F.col("feature").alias("f__"), "first", "n")
+    one = fires.join(twins, F.col("feature") == F.col("f__")).select("f__", "first", "n", "gid")
+    other = fires.select(F.col("feature").alias("o__"), F.col("gid").alias("g__"))
+    same = one.join(other, (F.col("first") == F.col("o__")) & (F.col("gid") == F.col("g__"))).groupBy("f__", "first", "n").agg(F.count("*").alias("c")).where("c = n").select("f__", F.col("first").alias("as__"))
+    named = proposed.join(same, F.col("feature") == F.col("f__"), "left").select(F.coalesce("as__", "feature").alias("feature"), "n")
+    return named.groupBy("feature").agg(F.count("*").alias("n_same"), F.max("n").alias("n_fires"))
+
+

@@ -71,7 +71,7 @@ def seen_recall(scored: DataFrame, seen: DataFrame, key: str, threshold: float)
 
 def coverage_by_direction(flagged: DataFrame, rows: DataFrame) -> DataFrame:
     """Share of rows and of attacks under a flagged value, per direction: flagged (field value, direction), rows (gid, y, item)."""
-    met = rows.join(F.broadcast(flagged.select(F.col("item").alias("i__"), "direction")), F.col("item") == F.col("i__")).select("gid", "y", "direction").distinct()
+    met = rows.join(flagged.select(F.col("item").alias("i__"), "direction"), F.col("item") == F.col("i__")).select("gid", "y", "direction").distinct()
     totals = rows.select("gid", "y").distinct().agg(F.count("*").alias("n"), F.sum("y").alias("a")).withColumn("k__", F.lit(1))
     per = met.groupBy("direction").agg(F.count("*").alias("c"), F.sum("y").alias("ca")).withColumn("k__", F.lit(1)).join(F.broadcast(totals), "k__")
     return per.select("direction", (F.col("c") / F.col("n")).alias("share"), F.try_divide(F.col("ca"), F.col("a")).alias("attack_share"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.operators.mining import contains_items_in_order, contains_steps_in_order
+from alertloom.operators.ranges import running
 
 OPERATORS = ("==", "!=", ">", "<=")
 
@@ -168,11 +169,9 @@ def schema_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def stump(rows: DataFrame, feature: str, label: str = "y") -> DataFrame:
     """The exact best split of one numeric feature by Gini, classes weighted evenly; ties take the lower threshold."""
-    from pyspark.sql import Window
-
     points = rows.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("double").alias("v")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    w, whole = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    c = points.select("v", F.lead("v").over(Window.orderBy("v")).alias("next"), (F.sum("p").over(w) / F.sum("p").over(whole)).alias("lp"), (F.sum("n").over(w) / F.sum("n").over(whole)).alias("ln"))
+    share = lambda c: (F.col(f"before_{c}") + F.col(c)) / F.col(f"total_{c}")
+    c = running(points, "v", ["p", "n"]).where("next__ is not null").select("v", "next__", share("p").alias("lp"), share("n").alias("ln"))
     gini = lambda p, n: (p + n) * (1 - (p / (p + n)) ** 2 - (n / (p + n)) ** 2)
-    scored = c.where("next is not null").select(((F.col("v") + F.col("next")) / 2).alias("threshold"), ((gini(F.col("lp"), F.col("ln")) + gini(1 - F.col("lp"), 1 - F.col("ln"))) / 2).alias("impurity"))
+    scored = c.select(((F.col("v") + F.col("next__")) / 2).alias("threshold"), ((gini(F.col("lp"), F.col("ln")) + gini(1 - F.col("lp"), 1 - F.col("ln"))) / 2).alias("impurity"))
     return scored.orderBy(F.round("impurity", 12), "threshold").limit(1)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.operators.ranges import first_by_hash
+
 
 def hash_order(key: str, seed: int) -> Column:
     return F.sha1(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
@@ -20,20 +22,19 @@ def _per_class(rows: DataFrame, label: str) -> DataFrame:
 
 
 def undersample(rows: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
-    """As many rows of each class as the smallest has; the cut is a hash value, found per class by rank."""
-    sizes = _per_class(rows, label).agg(F.min("n__").alias("least"))
-    ranked = rows.withColumn("r__", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(key, seed), key)))
-    return ranked.withColumn("k__", F.lit(1)).join(F.broadcast(sizes.withColumn("k__", F.lit(1))), "k__").where("r__ <= least").select(*rows.columns)
+    """As many rows of each class as the smallest has."""
+    least = _per_class(rows, label).agg(F.min("n__").alias("least__")).withColumn("k__", F.lit(1))
+    sized = rows.withColumn("k__", F.lit(1)).join(F.broadcast(least), "k__").drop("k__")
+    return first_by_hash(sized, label, F.col("least__"), hash_order(key, seed), key).select(*rows.columns)
 
 
 def guided(rows: DataFrame, label: str, inlier: str, key: str, seed: int = 0) -> DataFrame:
     """All positives, and as many negatives: half inliers, half outliers, each as far as there are."""
     positives = rows.where(F.col(label) == 1)
-    n = positives.agg(F.count("*").alias("n__")).withColumn("k__", F.lit(1))
-    order = Window.partitionBy(inlier).orderBy(hash_order(key, seed), key)
-    negatives = rows.where(F.col(label) == 0).withColumn("r__", F.row_number().over(order)).withColumn("k__", F.lit(1)).join(F.broadcast(n), "k__")
-    quota = F.when(F.col(inlier), F.ceil(F.col("n__") / 2)).otherwise(F.floor(F.col("n__") / 2))
-    return positives.unionByName(negatives.where(F.col("r__") <= quota).select(*rows.columns))
+    n = positives.agg(F.count("*").alias("n__")).select(F.ceil(F.col("n__") / 2).alias("in__"), F.floor(F.col("n__") / 2).alias("out__"), F.lit(1).alias("k__"))
+    negatives = rows.where(F.col(label) == 0).withColumn("k__", F.lit(1)).join(F.broadcast(n), "k__").drop("k__")
+    quota = F.when(F.col(inlier), F.col("in__")).otherwise(F.col("out__"))
+    return positives.unionByName(first_by_hash(negatives, inlier, quota, hash_order(key, seed), key).select(*rows.columns))
 
 
 def class_weight(rows: DataFrame, label: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A tree is grown level by level: one job per level aggregates, for every open
 node and feature, class weights by feature value, and finds the best Gini split
-with windows over the distinct values. Only the chosen splits reach the driver.
+from running sums over ranges of the distinct values. Only the chosen splits reach the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.operators.ranges import running
 from alertloom.operators.rules import Predicate, Rule, RuleSet, rule_id, tightest
 
 LEAST_DECREASE = 1e-9
@@ -49,10 +50,9 @@ def best_splits(rows: DataFrame, features: list[str], min_leaf: int) -> DataFram
     long = rows.select("node", "y", "weight", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x")).select("node", "y", "weight", "x.*").where("v is not null")
     y = F.col("y") == 1
     points = long.groupBy("node", "feature", "v").agg(F.sum(F.when(y, F.col("weight")).otherwise(0.0)).alias("p"), F.sum(F.when(~y, F.col("weight")).otherwise(0.0)).alias("n"), F.count("*").alias("c"))
-    up, whole = Window.partitionBy("node", "feature").orderBy("v"), Window.partitionBy("node", "feature")
-    run = lambda c: F.sum(c).over(up.rowsBetween(Window.unboundedPreceding, 0))
-    c = points.select(
-        "node", "feature", "v", F.lead("v").over(up).alias("next"), run("p").alias("lp"), run("n").alias("ln"), run("c").alias("lc"), F.sum("p").over(whole).alias("tp"), F.sum("n").over(whole).alias("tn"), F.sum("c").over(whole).alias("tc")
+    left = lambda c: F.col(f"before_{c}") + F.col(c)
+    c = running(points, "v", ["p", "n", "c"], ["node", "feature"]).select(
+        "node", "feature", "v", F.col("next__").alias("next"), left("p").alias("lp"), left("n").alias("ln"), left("c").alias("lc"), F.col("total_p").alias("tp"), F.col("total_n").alias("tn"), F.col("total_c").alias("tc")
     )
     gini = lambda p, n: (p + n) - (p * p + n * n) / F.greatest(p + n, F.lit(1e-300))
     decrease = gini(F.col("tp"), F.col("tn")) - gini(F.col("lp"), F.col("ln")) - gini(F.col("tp") - F.col("lp"), F.col("tn") - F.col("ln"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.operators.ranges import with_previous, with_runs
+
 
 def with_windows(rows: DataFrame, granularity: float) -> DataFrame:
     """Adds win_idx: windows of max(1, int(g*n)) rows; the last takes the rest."""
@@ -69,10 +71,7 @@ def single_class(rows: DataFrame, fraction: float = 0.7) -> DataFrame:
 
 def islands(rows: DataFrame, keys: list[str], time: str, gap: int, strict: bool = True, tie: str = "row_id") -> DataFrame:
     """Runs of rows per key whose neighbours are at most ``gap`` apart (below it, if not strict), with bounds and counts."""
-    order = Window.partitionBy(*keys).orderBy(time, tie)
-    distance = F.col(time) - F.lag(time).over(order)
-    fresh = F.coalesce((distance > gap if strict else distance >= gap).cast("int"), F.lit(1))
-    numbered = rows.withColumn("island", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = with_runs(rows, keys, gap, time, tie, strict, width=max(86_400, gap)).withColumnRenamed("run__", "island")
     return numbered.groupBy(*keys, "island").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"))
 
 
@@ -82,8 +81,8 @@ def streams(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
 
 
 def inter_arrival(rows: DataFrame, keys: list[str]) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy("time", "row_id")
-    return rows.withColumn("gap", F.col("time") - F.lag("time").over(order)).where("gap is not null")
+    """Rows but the first of each key, with the time since the row before."""
+    return with_previous(rows, keys).where("previous__ is not null").withColumn("gap", F.col("time") - F.col("previous__")).drop("previous__")
 
 
 def phase_cuts(phases: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,15 +92,19 @@ def phase_cuts(phases: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def phase_folds(rows: DataFrame, phases: DataFrame, keys: list[str]) -> DataFrame:
-    """Expanding folds: rows before a phase's cut train, rows from it to the next cut test; counted."""
-    cuts = phase_cuts(phases, keys)
-    order = Window.partitionBy(*keys).orderBy("cut")
-    spans = cuts.select(*[F.col(k).alias(f"{k}__") for k in keys], "cut", F.lead("cut").over(order).alias("next_cut"))
+    """Expanding folds: rows before a phase's cut train, rows from it to the next cut test; counted.
+
+    Each row is counted once, under the number of its key's cuts up to it.
+    """
+    cuts = phase_cuts(phases, keys).groupBy(*[F.col(k).alias(f"{k}__") for k in keys]).agg(F.array_sort(F.collect_list("cut")).alias("cuts__"))
     on = [F.col(k) == F.col(f"{k}__") for k in keys]
-    joined = rows.join(spans, on)
-    train = F.col("time") < F.col("cut")
-    test = ~train & (F.col("next_cut").isNull() | (F.col("time") < F.col("next_cut")))
-    return joined.groupBy(*keys, "cut").agg(F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"))
+    part = F.size(F.filter("cuts__", lambda c: c <= F.col("time")))
+    counts = rows.join(cuts, on).groupBy(*keys, part.alias("part__")).agg(F.count("*").alias("n__"))
+    grid = cuts.select(*[f"{k}__" for k in keys], F.posexplode(F.concat(F.array(F.lit(None).cast("double")), "cuts__")).alias("at__", "cut"))
+    met = grid.join(counts, [F.col("at__") == F.col("part__"), *on], "left").withColumn("n_test", F.coalesce("n__", F.lit(0)))
+    upto = Window.partitionBy(*[f"{k}__" for k in keys]).orderBy("at__").rowsBetween(Window.unboundedPreceding, -1)
+    summed = met.withColumn("n_train", F.coalesce(F.sum("n_test").over(upto), F.lit(0))).where("at__ > 0")
+    return summed.select(*[F.col(f"{k}__").alias(k) for k in keys], "cut", "n_train", "n_test")
 
 
 def leave_one_out(rows: DataFrame, key: str) -> DataFrame:

@@ -15,10 +15,10 @@ from alertloom.operators import trees as T
 from alertloom.operators import windows as W
 from alertloom.plans.grouping_queries import GROUPED, SESSIONS, grouped, sessions
 from alertloom.plans.mining_queries import FIRES, RULES, TOPS, WINDOWED, tops, windowed
-from alertloom.plans.registry import ALERTS, query, rounded
+from alertloom.plans.registry import ALERTS, BASKETS, query, rounded
 from alertloom.plans.window_queries import CONFIGS, SCORED, configs, scored
 from alertloom.sources.events import alerts, baskets, table
-from alertloom.sources.store import GroupQuery
+from alertloom.sources.store import GroupQuery, scratch_path
 from alertloom.streaming import monitor as D
 
 
@@ -199,13 +199,13 @@ def embedding_clusters(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, plan, name):
-    """Run a streaming plan over the events to its end, results in memory."""
+    """Run a streaming plan over the events to its end; each batch's whole result replaces the last one's in the shared folder."""
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = source.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"), F.when(F.col("event_type") == "error", "attack").otherwise("false_positive").alias("label"))
-    q = plan(rows).writeStream.format("memory").queryName(name).outputMode("complete").start()
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name)
+    target = scratch_path(spark, name)
+    q = plan(rows).writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target)).option("checkpointLocation", scratch_path(spark, f"{name}-state")).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(target)
 
 
 @query("stream_fixed_windows", f"WITH {ALERTS} SELECT host, (time // 21600) * 21600 AS start_ts, count(*) AS n_alerts, max((label = 'attack')::INT) AS any_attack FROM alerts GROUP BY 1, 2")
@@ -214,7 +214,8 @@ def stream_fixed_windows(spark, sf_dir):
     return got.select("host", F.unix_timestamp("window.start").alias("start_ts"), "n_alerts", "any_attack")
 
 
-@query("stream_sessions")
+@query("stream_sessions", f"""WITH {ALERTS}, marked AS (SELECT *, CASE WHEN time - lag(time) OVER w < 43200 THEN 0 ELSE 1 END AS fresh FROM alerts WINDOW w AS (PARTITION BY host ORDER BY time, row_id)),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY host ORDER BY time, row_id) AS k FROM marked) SELECT host, min(time) AS start_ts, count(*) AS n_alerts, max((label = 'attack')::INT) AS any_attack FROM s GROUP BY host, k""")
 def stream_sessions(spark, sf_dir):
     got = _stream(spark, sf_dir, lambda r: D.stream_sessions(r, 43_200), "stream_sessions")
     return got.select("host", F.unix_timestamp("session_window.start").alias("start_ts"), "n_alerts", "any_attack")
@@ -233,20 +234,17 @@ def tree_level_split(spark, sf_dir):
     return rounded(T.best_splits(weighted, ["hour", "value"], 20).drop("node"))
 
 
-@query("tree_leaves")
-def tree_leaves(spark, sf_dir):
-    a = alerts(spark, sf_dir).select((F.col("label") == "attack").cast("int").alias("y"), ((F.floor(F.col("time") / 3600)) % 24).cast("double").alias("hour"), "value")
-    leaves = T.fit_tree(a, ["hour", "value"], 2, 50)
-    return spark.createDataFrame([(" and ".join(p.token() for p in x.path), x.n_attack, x.n_benign, x.prediction) for x in leaves], "path string, n_attack bigint, n_benign bigint, prediction string")
+COVER_STEP = """, p{i} AS (SELECT item, count(*) FILTER (group_label = 'attack') AS a, count(*) FILTER (group_label = 'benign') AS b FROM items WHERE gid NOT IN (SELECT gid FROM d{j}) GROUP BY 1 HAVING a >= 1 AND a / (a + b) >= 0.5),
+ c{i} AS (SELECT item, a, b FROM p{i} ORDER BY a * log2(2 * a / (a + b)) DESC, item LIMIT 1), d{i} AS (SELECT gid FROM d{j} UNION ALL SELECT DISTINCT gid FROM items WHERE item IN (SELECT item FROM c{i}) AND gid NOT IN (SELECT gid FROM d{j}))"""
 
 
-@query("greedy_cover")
+@query("greedy_cover", f"WITH {BASKETS}, d0 AS (SELECT gid FROM baskets WHERE false)" + "".join(COVER_STEP.format(i=i, j=i - 1) for i in (1, 2, 3)) + " SELECT item, a AS n_attack, b AS n_benign FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3")
 def greedy_cover(spark, sf_dir):
     chosen = T.cover_rules(P.long_items(baskets(spark, sf_dir)), baskets(spark, sf_dir), 3, 0.5)
     return spark.createDataFrame(chosen, "item string, n_attack bigint, n_benign bigint")
 
 
-@query("schema_history", "SELECT version, deployed_at, lead(deployed_at) OVER (ORDER BY deployed_at, version) AS superseded_at FROM (SELECT p_partkey AS version, date '2024-01-01' + CAST(p_partkey AS INT) AS deployed_at FROM part WHERE p_partkey < 20)")
+@query("schema_history", "SELECT version, deployed_at, lead(deployed_at) OVER (ORDER BY deployed_at, version) AS superseded_at FROM (SELECT p_partkey AS version, date '2024-01-01' + CAST(p_partkey AS INT) AS deployed_at FROM part)")
 def schema_history(spark, sf_dir):
-    h = table(spark, sf_dir, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("version"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_partkey").cast("int")).alias("deployed_at"))
+    h = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("version"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_partkey").cast("int")).alias("deployed_at"))
     return T.versions(h)

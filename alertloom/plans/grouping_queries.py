@@ -68,9 +68,9 @@ def tokens_signature(spark, sf_dir):
     return alerts(spark, sf_dir).select("row_id", F.array_join(found, " ").alias("tokens"))
 
 
-@query("text_normalize", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents WHERE lang = 'en'")
+@query("text_normalize", "SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents")
 def text_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("digest"))
 
 
 @query("time_of_day", f"""WITH {ALERTS} SELECT CASE WHEN h BETWEEN 5 AND 9 THEN 'morning' WHEN h BETWEEN 10 AND 13 THEN 'midday' WHEN h BETWEEN 14 AND 17 THEN 'afternoon'
@@ -138,10 +138,13 @@ def group_capped_session(spark, sf_dir):
     return g.groupBy("group_id", "host", "signature").agg(F.min("time").alias("start_ts"), F.count("*").alias("n"), F.max("time").alias("end_ts")).drop("group_id")
 
 
-@query("group_temporal")
+@query("group_temporal", f"""WITH RECURSIVE {ALERTS}, ticks AS (SELECT DISTINCT time FROM alerts), marked AS (SELECT time, time - lag(time) OVER (ORDER BY time) AS gap FROM ticks),
+ anchors AS (SELECT min(time) AS anchor FROM ticks UNION ALL SELECT (SELECT min(time) FROM marked WHERE time > anchor AND (gap > 900 OR time - anchor > 3600)) FROM anchors WHERE anchor IS NOT NULL),
+ spans AS (SELECT anchor, lead(anchor) OVER (ORDER BY anchor) AS following FROM anchors WHERE anchor IS NOT NULL)
+SELECT anchor AS start_ts, count(*) AS n FROM alerts ASOF JOIN spans ON time >= anchor GROUP BY 1""")
 def group_temporal(spark, sf_dir):
     g = G.group_alerts(alerts(spark, sf_dir), "temporal", timeout=900, length=3600)
-    return g.groupBy("group_id").agg(F.min("time").alias("start_ts"), F.count("*").alias("n"))
+    return g.groupBy("group_id").agg(F.min("time").alias("start_ts"), F.count("*").alias("n")).drop("group_id")
 
 
 @query("group_members", f"WITH {SESSIONS} SELECT group_id, string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY time, row_id) AS row_ids FROM sessions GROUP BY 1")

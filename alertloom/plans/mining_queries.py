@@ -91,17 +91,32 @@ def pattern_budget(spark, sf_dir):
     return P.budget(s, 20, "score", "pattern", "cls").select("pattern", "cls")
 
 
-@query("or_pairs", f"""WITH {BASKETS}, c AS (SELECT * FROM items WHERE item LIKE 'brand:Brand#1%'), z AS (SELECT count(*) FILTER (group_label = 'attack') AS na, count(*) FILTER (group_label = 'benign') AS nb FROM baskets),
+@query("or_pairs", f"""WITH {BASKETS}, c AS (SELECT * FROM items), z AS (SELECT count(*) FILTER (group_label = 'attack') AS na, count(*) FILTER (group_label = 'benign') AS nb FROM baskets),
  o AS (SELECT item, count(*) FILTER (group_label = 'attack') AS a, count(*) FILTER (group_label = 'benign') AS b FROM c GROUP BY 1),
  i AS (SELECT x.item AS l, y.item AS r, count(*) FILTER (x.group_label = 'attack') AS ia, count(*) FILTER (x.group_label = 'benign') AS ib FROM c x JOIN c y ON x.gid = y.gid AND x.item < y.item GROUP BY 1, 2),
  u AS (SELECT l.item || ' OR ' || r.item AS pattern, l.a + r.a - coalesce(ia, 0) AS ua, l.b + r.b - coalesce(ib, 0) AS ub, greatest(l.a, r.a) AS best FROM o l JOIN o r ON l.item < r.item LEFT JOIN i ON i.l = l.item AND i.r = r.item)
 SELECT pattern, ua AS count_attack, ub AS count_benign, round(ua / na, 6) AS support_attack, round(ub / nb, 6) AS support_benign, round((ua - best) / na, 6) AS gain, round(ua / na / (ua / na + ub / nb), 6) AS confidence_attack
 FROM u, z WHERE (ua - best) / na >= 0.02 AND abs(ua / na - ub / nb) >= 0.01 AND ua / na / (ua / na + ub / nb) >= 0.5""")
 def or_pairs(spark, sf_dir):
-    clauses = items(spark, sf_dir).where("item like 'brand:Brand#1%'").withColumnRenamed("item", "clause")
+    clauses = items(spark, sf_dir).withColumnRenamed("item", "clause")
     return rounded(P.or_pairs(clauses, baskets(spark, sf_dir), 0.02, 0.01, 0.5))
 
 
+@query("or_disjunctions", f"""WITH {BASKETS}, z AS (SELECT count(*) FILTER (group_label = 'attack') AS na, count(*) FILTER (group_label = 'benign') AS nb FROM baskets),
+ c AS (SELECT * FROM items WHERE item LIKE 'size:%' OR item LIKE 'type:%'), o AS (SELECT item, count(*) FILTER (group_label = 'benign') AS n FROM c GROUP BY 1 HAVING n >= (SELECT 0.2 * nb FROM z)),
+ p AS (SELECT x.item AS a, y.item AS b, NULL AS c FROM o x JOIN o y ON x.item < y.item UNION ALL SELECT x.item, y.item, w.item FROM o x JOIN o y ON x.item < y.item JOIN o w ON y.item < w.item),
+ u AS (SELECT p.a, p.b, p.c, count(DISTINCT gid) FILTER (group_label = 'benign') AS ub, count(DISTINCT gid) FILTER (group_label = 'attack') AS ua,
+   greatest(count(DISTINCT CASE WHEN p.c IS NULL THEN CASE WHEN item = p.a THEN gid END WHEN item IN (p.a, p.b) THEN gid END) FILTER (group_label = 'benign'),
+    count(DISTINCT CASE WHEN p.c IS NULL THEN CASE WHEN item = p.b THEN gid END WHEN item IN (p.a, p.c) THEN gid END) FILTER (group_label = 'benign'),
+    count(DISTINCT CASE WHEN p.c IS NOT NULL AND item IN (p.b, p.c) THEN gid END) FILTER (group_label = 'benign')) AS best
+  FROM p JOIN c i ON i.item = p.a OR i.item = p.b OR i.item = p.c GROUP BY 1, 2, 3)
+SELECT a || ' OR ' || b || coalesce(' OR ' || c, '') AS pattern, CASE WHEN c IS NULL THEN 2 ELSE 3 END::BIGINT AS n_clauses, ub AS count_benign, ua AS count_attack, round(ub / nb, 6) AS support_benign, round(ua / na, 6) AS support_attack,
+ round((ub - best) / nb, 6) AS gain, round(ub / nb / (ua / na + ub / nb), 6) AS confidence_benign FROM u, z WHERE (ub - best) / nb >= 0.2 - 1e-9 AND abs(ua / na - ub / nb) >= 0.01 AND ub / nb / (ua / na + ub / nb) >= 0.4""")
+def or_disjunctions(spark, sf_dir):
+    clauses = items(spark, sf_dir).where("item like 'size:%' or item like 'type:%'").withColumnRenamed("item", "clause")
+    return rounded(P.or_disjunctions(clauses, baskets(spark, sf_dir), 3, 0.2, 0.01, 0.4, leading="benign"))
+
+
 CONTRAST = f"""WITH {BASKETS}, sz AS (SELECT count(*) FILTER (group_label = 'attack') AS na, count(*) FILTER (group_label = 'benign') AS nb FROM baskets),
  s1 AS (SELECT item, count(*) FILTER (group_label = 'attack') AS a, count(*) FILTER (group_label = 'benign') AS b FROM items GROUP BY 1), live AS (SELECT s1.* FROM s1, sz WHERE a + b < na + nb),
  li AS (SELECT * FROM items WHERE item IN (SELECT item FROM live)),
@@ -121,12 +136,11 @@ def contrast_survivors(spark, sf_dir):
     return P.contrast_survivors(P.contrast_stats(items(spark, sf_dir), baskets(spark, sf_dir)), growth=1.2).select("pattern", "count_attack", "count_benign")
 
 
-SEQ = f"""WITH {ALERTS}, st AS (SELECT DISTINCT host AS gid, time // 86400 AS pos, signature AS item FROM alerts WHERE time % 86400 < 14400)"""
+SEQ = f"""WITH {ALERTS}, st AS (SELECT DISTINCT host AS gid, time // 86400 AS pos, signature AS item FROM alerts)"""
 
 
 def steps(spark, sf_dir):
-    a = alerts(spark, sf_dir).where("time % 86400 < 14400")
-    return a.select(F.col("host").alias("gid"), F.lit("attack").alias("group_label"), F.floor(F.col("time") / 86_400).alias("pos"), F.col("signature").alias("item")).distinct()
+    return alerts(spark, sf_dir).select(F.col("host").alias("gid"), F.lit("attack").alias("group_label"), F.floor(F.col("time") / 86_400).alias("pos"), F.col("signature").alias("item")).distinct()
 
 
 @query("sequences_k3", SEQ + """, l1 AS (SELECT item AS pattern, count(DISTINCT gid) AS support_count FROM st GROUP BY 1), l2 AS (SELECT x.item || ' > ' || y.item AS pattern, count(DISTINCT x.gid) AS support_count FROM st x JOIN st y ON x.gid = y.gid AND x.pos < y.pos GROUP BY 1),
@@ -142,11 +156,40 @@ def sequence_prefix_subsumed(spark, sf_dir):
     return P.without_prefixes(P.item_sequences(steps(spark, sf_dir), 110, 2)).select(F.array_join("steps", " > ").alias("pattern"))
 
 
+@query("itemset_sequences_k3", SEQ + """, j AS (SELECT x.gid, x.pos, x.item AS a, y.item AS b FROM st x JOIN st y ON x.gid = y.gid AND x.pos = y.pos AND x.item < y.item),
+ f AS (SELECT gid, item, min(pos) AS p FROM st GROUP BY 1, 2), f2 AS (SELECT gid, a, b, min(pos) AS p FROM j GROUP BY 1, 2, 3), s2 AS (SELECT f.gid, f.item AS a, st.item AS b, min(st.pos) AS p FROM f JOIN st ON st.gid = f.gid AND st.pos > f.p GROUP BY 1, 2, 3),
+ every AS (
+  SELECT item AS pattern, 1 AS n_items, 1 AS n_steps, gid FROM st
+  UNION ALL SELECT a || '+' || b, 2, 1, gid FROM j
+  UNION ALL SELECT f.item || ' > ' || st.item, 2, 2, st.gid FROM f JOIN st ON st.gid = f.gid AND st.pos > f.p
+  UNION ALL SELECT j.a || '+' || j.b || '+' || st.item, 3, 1, st.gid FROM j JOIN st ON st.gid = j.gid AND st.pos = j.pos AND st.item > j.b
+  UNION ALL SELECT f2.a || '+' || f2.b || ' > ' || st.item, 3, 2, st.gid FROM f2 JOIN st ON st.gid = f2.gid AND st.pos > f2.p
+  UNION ALL SELECT f.item || ' > ' || j.a || '+' || j.b, 3, 2, j.gid FROM f JOIN j ON j.gid = f.gid AND j.pos > f.p
+  UNION ALL SELECT s2.a || ' > ' || s2.b || ' > ' || st.item, 3, 3, st.gid FROM s2 JOIN st ON st.gid = s2.gid AND st.pos > s2.p)
+SELECT pattern, n_items::BIGINT AS n_items, n_steps::BIGINT AS n_steps, count(DISTINCT gid) AS support_count FROM every GROUP BY 1, 2, 3 HAVING count(DISTINCT gid) >= 40""")
+def itemset_sequences_k3(spark, sf_dir):
+    found = P.itemset_sequences(steps(spark, sf_dir), 40, 3)
+    name = F.array_join(F.transform("steps", lambda s: F.array_join(s, "+")), " > ")
+    return found.select(name.alias("pattern"), "n_items", "n_steps", "support_count")
+
+
 def host_sequences(spark, sf_dir):
     per = steps(spark, sf_dir).groupBy("gid", "pos").agg(F.array_sort(F.collect_set("item")).alias("s"))
     return per.groupBy("gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("context_steps"))
 
 
+@query("sequence_cross_support", SEQ + """, l AS (SELECT host AS gid, CASE WHEN count(*) FILTER (label = 'attack') * 5 > count(*) THEN 'attack' ELSE 'benign' END AS y FROM alerts GROUP BY 1), z AS (SELECT count(*) FILTER (y = 'attack') AS na, count(*) FILTER (y = 'benign') AS nb FROM l),
+ j AS (SELECT DISTINCT x.gid, x.item || ' > ' || y.item AS pattern FROM st x JOIN st y ON x.gid = y.gid AND x.pos < y.pos), k AS (SELECT pattern, count(*) AS support_count, count(*) FILTER (y = 'attack') AS a, count(*) FILTER (y = 'benign') AS b FROM j JOIN l USING (gid) GROUP BY 1)
+SELECT pattern, a AS count_attack, b AS count_benign, round(a / na, 6) AS support_attack, round(b / nb, 6) AS support_benign, round(a / na - b / nb, 6) AS support_diff FROM k, z WHERE support_count >= 40""")
+def sequence_cross_support(spark, sf_dir):
+    per = alerts(spark, sf_dir).groupBy(F.col("host").alias("h__")).agg((F.count_if(F.col("label") == "attack") * 5 > F.count("*")).alias("much"))
+    s = host_sequences(spark, sf_dir).join(per, F.col("gid") == F.col("h__")).select("gid", F.when(F.col("much"), "attack").otherwise("benign").alias("group_label"), "context_steps")
+    pairs = P.itemset_sequences(steps(spark, sf_dir), 40, 2).where("n_steps = 2")
+    out = P.sequence_support(pairs, s)
+    name = F.array_join(F.transform("steps", lambda x: x[0]), " > ")
+    return rounded(out.select(name.alias("pattern"), "count_attack", "count_benign", "support_attack", "support_benign", "support_diff"))
+
+
 @query("sequence_containment", SEQ + """ SELECT gid, EXISTS (SELECT 1 FROM st x JOIN st y ON x.gid = y.gid AND x.pos < y.pos WHERE x.gid = g.gid AND x.item = 'click' AND y.item = 'error') AS in_order,
  EXISTS (SELECT 1 FROM st x JOIN st x2 ON x.gid = x2.gid AND x.pos = x2.pos JOIN st y ON x.gid = y.gid AND x.pos < y.pos WHERE x.gid = g.gid AND x.item = 'click' AND x2.item = 'view' AND y.item = 'error') AS steps_in_order FROM (SELECT DISTINCT gid FROM st) g""")
 def sequence_containment(spark, sf_dir):
@@ -236,13 +279,13 @@ def psi_signal(spark, sf_dir):
     return rounded(D.rate_signal(w.select("win_idx", F.col("signature").alias("predicate_id")), totals, expected))
 
 
-@query("calibration_signal", WINDOWED + """, m AS (SELECT win_idx, signature AS rule_id, (value > 30) AS correct FROM w WHERE time % 7 < 4)
-SELECT win_idx, rule_id, round(0.6, 6)::DOUBLE AS mined_confidence, count(*) AS n_matching, CASE WHEN count(*) >= 110 THEN round(avg(correct::INT), 6) END AS observed_confidence, CASE WHEN count(*) >= 110 THEN round(abs(avg(correct::INT) - 0.6), 6) END AS drift,
- coalesce(CASE WHEN count(*) >= 110 THEN abs(avg(correct::INT) - 0.6) > 0.1 END, false) AS elevated FROM m GROUP BY 1, 2""")
+@query("calibration_signal", WINDOWED + """, m AS (SELECT win_idx, signature AS rule_id, (value > 30) AS correct FROM w)
+SELECT win_idx, rule_id, round(0.6, 6)::DOUBLE AS mined_confidence, count(*) AS n_matching, CASE WHEN count(*) >= 200 THEN round(avg(correct::INT), 6) END AS observed_confidence, CASE WHEN count(*) >= 200 THEN round(abs(avg(correct::INT) - 0.6), 6) END AS drift,
+ coalesce(CASE WHEN count(*) >= 200 THEN abs(avg(correct::INT) - 0.6) > 0.1 END, false) AS elevated FROM m GROUP BY 1, 2""")
 def calibration_signal(spark, sf_dir):
-    m = windowed(spark, sf_dir).where("time % 7 < 4").select("win_idx", F.col("signature").alias("rule_id"), (F.col("value") > 30).alias("correct"))
+    m = windowed(spark, sf_dir).select("win_idx", F.col("signature").alias("rule_id"), (F.col("value") > 30).alias("correct"))
     mined = m.select("rule_id").distinct().withColumn("confidence", F.lit(0.6))
-    return rounded(D.calibration_signal(m, mined, min_samples=110))
+    return rounded(D.calibration_signal(m, mined, min_samples=200))
 
 
 FLAGS = f"""WITH {ALERTS}, d AS (SELECT host AS scenario, time // 86400 AS win_idx, bool_or(label = 'attack') AS signal_1, count(*) > 3 AS signal_2 FROM alerts GROUP BY 1, 2),

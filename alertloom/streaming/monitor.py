@@ -21,7 +21,9 @@ def rate_signal(fired: DataFrame, totals: DataFrame, expected: DataFrame, thresh
     (win_idx, n_observed); ``expected``: (predicate_id, p_expected).
     """
     hits = fired.groupBy(F.col("win_idx").alias("w__"), F.col("predicate_id").alias("p__")).agg(F.count("*").alias("n_fired"))
-    grid = totals.withColumn("k__", F.lit(1)).join(F.broadcast(expected.withColumn("k__", F.lit(1))), "k__").drop("k__")
+    # Windows are few (a run has one over its granularity): they go to each predicate as one array.
+    windows = totals.agg(F.collect_list(F.struct("win_idx", "n_observed")).alias("w__")).withColumn("k__", F.lit(1))
+    grid = expected.withColumn("k__", F.lit(1)).join(F.broadcast(windows), "k__").select(*expected.columns, F.inline("w__"))
     joined = grid.join(hits, (F.col("win_idx") == F.col("w__")) & (F.col("predicate_id") == F.col("p__")), "left")
     observed = F.coalesce(F.try_divide(F.coalesce("n_fired", F.lit(0)).cast("double"), F.col("n_observed")), F.lit(0.0))
     out = joined.select("win_idx", "predicate_id", "p_expected", observed.alias("p_observed"), "n_observed").withColumn("psi", psi(F.col("p_expected"), F.col("p_observed")))
@@ -34,7 +36,7 @@ def calibration_signal(matches: DataFrame, mined: DataFrame, min_samples: int =
     ``matches``: (win_idx, rule_id, correct); ``mined``: (rule_id, confidence).
     """
     seen = matches.groupBy("win_idx", "rule_id").agg(F.count("*").alias("n_matching"), F.avg(F.col("correct").cast("double")).alias("rate"))
-    joined = seen.join(F.broadcast(mined.select(F.col("rule_id").alias("r__"), F.col("confidence").alias("mined_confidence"))), F.col("rule_id") == F.col("r__"))
+    joined = seen.join(mined.select(F.col("rule_id").alias("r__"), F.col("confidence").alias("mined_confidence")), F.col("rule_id") == F.col("r__"))
     enough = F.when(F.col("n_matching") >= min_samples, F.col("rate"))
     out = joined.select("win_idx", "rule_id", "mined_confidence", "n_matching", enough.alias("observed_confidence"))
     return out.withColumn("drift", F.abs(F.col("observed_confidence") - F.col("mined_confidence"))).withColumn("elevated", F.coalesce(F.col("drift") > threshold, F.lit(False)))
