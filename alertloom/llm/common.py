@@ -52,19 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The folder is removed when the driver's Python ends.
+    The folder is removed by ``remove_written``, or else when the driver's Python ends.
     """
     path = f"{shared_dir(spark)}/alertloom-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    stored = spark.read.schema(schema).parquet(path)
+    stored.written_to = path
+    return stored
 
 
-def remove_written(spark: SparkSession, df: DataFrame) -> None:
-    """Delete what ``written`` stored, once nothing reads it any more."""
-    for file in df.inputFiles()[:1]:
-        _remove(spark, file.rsplit("/", 1)[0])
+def remove_written(*stored: DataFrame) -> None:
+    """Delete what ``written`` stored, once nothing reads it any more; takes the frames that it returned."""
+    for frame in stored:
+        _remove(frame.sparkSession, frame.written_to)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

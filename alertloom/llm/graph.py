@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         then = written(spark, _star(_star(now, True), False), "edges")
         row = then.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        remove_written(spark, now)
+        remove_written(now)
         now = then
         if (row.n, row.h) == mark or row.n == 0:
             return now.select(F.col("a").alias("vertex"), F.col("b").alias("component"))

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import checked_columns, ship_by_value, written
+from alertloom.llm.common import checked_columns, remove_written, ship_by_value, written
 from alertloom.llm.unigram_vocab import MARK, Lattice, prior
 
 HOT_WORDS = 65_536
@@ -178,6 +178,7 @@ def score_documents(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
     else:
         scores, end_score = np.log(prior(pieces) / 2).tolist(), log(0.5)
     words = written(spark, score_words(counted, pieces, scores, end_score), "scored")
+    remove_written(counted)
     hot_rows = words.orderBy(F.desc("c_all"), "word").limit(HOT_WORDS).select("word", "c", "lp").collect()
     floor = log10(tokens + kinds + 1)
     hot = spark.sparkContext.broadcast({bytes(r.word): (log10(r.c + 1) - floor, r.lp, r.c > 0) for r in hot_rows})

@@ -294,3 +294,32 @@ def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
 
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "byte-level bpe"
+
+
+def test_every_operator_takes_a_long_text(spark):
+    """Three megabytes of words, one word of two, and a million blanks."""
+    import public_tokenizers as P
+
+    from alertloom.llm import bpe_tree
+
+    rnd = random.Random(9)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(5_000)]
+    long = [rnd.choice(vocabulary) for _ in range(450_000)]
+    texts = [" ".join(long), "z9" * 1_000_000, " \n" * 500_000, " ".join(long[1_000:440_000])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    labels, bench = spark.createDataFrame([(0, 1)], "doc_id bigint, quality int"), spark.createDataFrame([(7, " ".join(long[300_000:300_030]))], "item_id bigint, text string")
+    ranks = bpe_tree.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+
+    def all_of_them():
+        judged = {r.doc_id: r for r in decision_list.judge(docs, labels).collect()}
+        assert [judged[i].n_words for i in range(4)] == [450_000, 1, 0, 439_000] and judged[0].kept
+        encoded = {r.doc_id: r for r in bpe_tree.encode_documents(docs, ranks, P.PATTERN).collect()}
+        assert [encoded[i].decoded_sha256 for i in range(4)] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+        left = {r.doc_id: r for r in rlz_dedup.remove_repeats(docs).collect()}
+        assert [left[i].n_removed for i in range(4)] == [0, 0, 0, 439_000]
+        assert {(r.doc_id, r.item_id) for r in lsi_decontam.find_leaks(docs, bench).collect()} == {(0, 7), (3, 7)}
+        assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 0}
+        assert simhash_gray.near_duplicates(docs).count() == 4
+
+    _, took = seconds(all_of_them)
+    assert took < 300
