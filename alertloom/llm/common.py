@@ -57,6 +57,8 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/alertloom-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    # What this job shuffled is garbage now; a collection lets Spark's cleaner delete it before the next job adds its own.
+    spark.sparkContext._jvm.java.lang.System.gc()
     atexit.register(_remove, spark, path)
     stored = spark.read.schema(schema).parquet(path)
     stored.written_to = path
