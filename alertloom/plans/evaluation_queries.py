@@ -200,8 +200,11 @@ def embedding_clusters(spark, sf_dir):
 
 def _stream(spark, sf_dir, plan, name):
     """Run a streaming plan over the events to its end; each batch's whole result replaces the last one's in the shared folder."""
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = source.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"), F.when(F.col("event_type") == "error", "attack").otherwise("false_positive").alias("label"))
+    # As a pattern, the path may be a file or a folder of files.
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    # Whole seconds, as in sources.events: fractions would join rows whose times are a gap apart.
+    ts = F.timestamp_seconds(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
+    rows = source.select(ts.alias("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("host"), F.when(F.col("event_type") == "error", "attack").otherwise("false_positive").alias("label"))
     target = scratch_path(spark, name)
     q = plan(rows).writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(target)).option("checkpointLocation", scratch_path(spark, f"{name}-state")).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -98,9 +98,11 @@ def stream_fixed_windows(alerts: DataFrame, seconds: int, late: str = "10 minute
 
 
 def stream_sessions(alerts: DataFrame, gap: int, late: str = "10 minutes") -> DataFrame:
-    """Sessions per host over a stream with column ts."""
+    """Sessions per host over a stream with column ts; one ends where the next row is ``gap`` seconds later or more."""
+    # Spark joins rows that are exactly a gap apart, so its gap is a microsecond less.
+    session = F.session_window("ts", f"{gap * 1_000_000 - 1} microseconds")
     attack = (F.col("label") != "false_positive").cast("int")
-    return alerts.withWatermark("ts", late).groupBy(F.session_window("ts", f"{gap} seconds"), "host").agg(F.count("*").alias("n_alerts"), F.max(attack).alias("any_attack"), F.min(attack).alias("all_attack"))
+    return alerts.withWatermark("ts", late).groupBy(session, "host").agg(F.count("*").alias("n_alerts"), F.max(attack).alias("any_attack"), F.min(attack).alias("all_attack"))
 
 
 def stability(features: DataFrame, keys: list[str], order: str) -> DataFrame:
