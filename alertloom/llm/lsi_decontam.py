@@ -2,10 +2,10 @@
 
 Documents are cut into overlapping passages. Passages and benchmark items are
 TF-IDF vectors over the items' vocabulary, with document frequencies counted over
-every document. A randomised SVD, whose products with the passage matrix are
-computed by partition and summed, gives the latent axes; it is fitted on the
-items and on the passages of about ``FIT_DOCS`` documents, those whose hash lies
-in a fixed share of the range. Every passage of every document is searched: its
+every document. A randomised SVD of the items' and all documents' passages gives
+the latent axes: how much any two terms have in common is summed over every
+passage once (as sparse cells, by partition), and the products that the SVD
+needs are taken with that matrix. Every passage of every document is searched: its
 latent cosine is taken with each item that could still be a leak there, which
 leaves out only items of which too few words stand around the passage for any
 common subsequence to be long enough. Candidates of enough cosine are aligned with
@@ -15,8 +15,9 @@ answer (its last sentence) stands there word for word.
 
 Words are lower-cased and stripped of ASCII punctuation. Items are read one block
 at a time, of ``BLOCK_ITEMS`` items or ``BLOCK_WORDS`` words at most (a longer
-item is a block of its own), so what the driver holds and broadcasts is bounded;
-with several blocks each one's leaks are written before the next is read. Defined
+item is a block of its own), so what the driver holds and broadcasts is bounded.
+A block's documents are stored as term numbers, so texts are split into words once
+a block; its leaks are written before the next block is read. Defined
 results: null and empty texts and items match nothing; repeated rows give
 repeated results; with no items or no documents the result is empty; extra
 columns are ignored, and kept under any name by ``drop_contaminated``.
@@ -25,6 +26,7 @@ columns are ignored, and kept under any name by ``drop_contaminated``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -36,7 +38,6 @@ from alertloom.llm.common import checked_columns, remove_written, row_key, shelt
 
 PASSAGE, STRIDE = 32, 16
 AXES, EXTRA_AXES, POWER = 256, 16, 2
-FIT_DOCS = 2_000
 BLOCK_ITEMS, BLOCK_WORDS = 1_024, 16_384
 #: Passages that are looked at together, and the share of passages from which a word counts as frequent there.
 COARSE, FREQUENT = 4, 0.05
@@ -49,8 +50,10 @@ BATCH_WORDS = 200_000
 ROWS = 2_048
 #: Pairs of a passage and an item whose words are gathered at once.
 PAIRS = 5_000
-#: Nonzero cells of the passage matrix that are multiplied at once.
-CELLS = 50_000
+#: Products of two terms of a passage that are summed at once by a worker.
+PRODUCTS = 6_000_000
+#: Terms whose rows of the matrix of common terms are stored together, and tasks that multiply by it (its size doesn't grow with the documents).
+STRIP, MULTIPLIERS = 16, 8
 #: ASCII punctuation becomes a blank, A-Z lower case.
 FOLD = bytes(32 if chr(b) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -66,9 +69,9 @@ def answer_of(text: bytes | None) -> list[bytes]:
     return next((w for part in reversed(text.split(b"\x00")) if (w := fold(part))), [])
 
 
-def common_subsequence(item: list[bytes], words: list[bytes]) -> int:
+def common_subsequence(item: list, words: list) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
-    places: dict[bytes, int] = {}
+    places: dict = {}
     for i, w in enumerate(item):
         places[w] = places.get(w, 0) | 1 << i
     full = row = (1 << len(item)) - 1
@@ -82,11 +85,10 @@ def common_subsequence(item: list[bytes], words: list[bytes]) -> int:
 class Gathered:
     """Words of several documents in one row, as term numbers; the last number stands for all other words."""
 
-    def __init__(self, texts: list[list[bytes]], terms: dict[bytes, int]) -> None:
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(sizes)])
-        self.ids = np.fromiter(map(terms.get, chain.from_iterable(texts), repeat(len(terms))), np.int32, int(self.begin[-1]))
-        self.sizes = sizes
+    def __init__(self, texts: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.ids = np.concatenate([np.zeros(0, np.int32), *texts], dtype=np.int32)
 
     def windows(self, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, low, high) of passages that start every ``stride`` words; the last one may be shorter."""
@@ -96,21 +98,39 @@ class Gathered:
         return doc, low, np.minimum(low + PASSAGE, self.begin[doc + 1])
 
 
-def gathered(batches: Iterator[pa.RecordBatch], terms: dict[bytes, int]) -> Iterator[tuple[list, list[list[bytes]], Gathered]]:
-    """Documents in groups of about ``BATCH_WORDS`` words: ids, words, term numbers."""
+def number_type(terms: dict[bytes, int]) -> str:
+    return "<u2" if len(terms) < 1 << 16 else "<i4"
+
+
+def numbered(rows: DataFrame, terms: dict[bytes, int]) -> DataFrame:
+    """(doc_id, words) of rows of doc_id and text: the words' term numbers, as bytes."""
+    shared = rows.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        get, other, kind = known.get, repeat(len(known)), number_type(known)
+        for batch in batches:
+            words = [np.fromiter(map(get, fold(x.as_py()), other), kind).tobytes() for x in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "words": pa.array(words, pa.binary())})
+
+    return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, words binary")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[list, Gathered]]:
+    """Numbered documents in groups of about ``BATCH_WORDS`` words: ids, term numbers."""
     ids: list = []
-    texts: list[list[bytes]] = []
+    texts: list[np.ndarray] = []
     held = 0
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+        for doc_id, words in zip(batch.column("doc_id").to_pylist(), batch.column("words"), strict=True):
             ids.append(doc_id)
-            texts.append(fold(text.as_py()))
+            texts.append(np.frombuffer(words.as_py(), kind))
             held += len(texts[-1])
             if held >= BATCH_WORDS:
-                yield ids, texts, Gathered(texts, terms)
+                yield ids, Gathered(texts)
                 ids, texts, held = [], [], 0
     if ids:
-        yield ids, texts, Gathered(texts, terms)
+        yield ids, Gathered(texts)
 
 
 class Coverage:
@@ -122,20 +142,20 @@ class Coverage:
     exactly, passage by passage.
     """
 
-    def __init__(self, items: list[list[bytes]], answers: list[list[bytes]], terms: dict[bytes, int], idf: np.ndarray) -> None:
-        frequent = np.append(idf[: len(terms)] < -np.log(FREQUENT), True)
+    def __init__(self, items: list[list[int]], answers: list[list[int]], size: int, idf: np.ndarray) -> None:
+        frequent = np.append(idf[:size] < -np.log(FREQUENT), True)
         self.classes = []
         by_reach: dict[tuple[int, int], list[int]] = {}
         for i, w in enumerate(items):
             by_reach.setdefault((-(-len(w) // STRIDE), -(-len(w) // 64)), []).append(i)
         for (reach, lanes), which in sorted(by_reach.items()):
-            bits = np.zeros((len(terms) + 1, len(which), lanes), np.uint64)
+            bits = np.zeros((size + 1, len(which), lanes), np.uint64)
             answer = np.zeros((len(which), lanes), np.uint64)
             for c, i in enumerate(which):
                 asked = set(answers[i])
                 for k, w in enumerate(items[i]):
                     bit = np.uint64(1 << k % 64)
-                    bits[terms[w], c, k // 64] |= bit
+                    bits[w, c, k // 64] |= bit
                     if w in asked:
                         answer[c, k // 64] |= bit
             always = np.bitwise_or.reduce(bits[frequent], axis=0)
@@ -214,102 +234,166 @@ def _summed(rows: DataFrame, run: Callable, shape: tuple[int, ...]) -> np.ndarra
     return out
 
 
-def passage_frequencies(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
-    """For each term the number of passages (end to end) with it; at the end, the number of passages."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+def passage_frequencies(docs: DataFrame, size: int, kind: str) -> np.ndarray:
+    """For each of ``size`` terms the number of passages (end to end) with it; at the end, the number of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        known = shared.value
-        n = len(known) + 1
-        for _, _, g in gathered(batches, known):
+        n = size + 1
+        for _, g in gathered(batches, kind):
             doc, low, high = g.windows(PASSAGE)
             at = np.repeat(np.arange(len(low)), high - low)
-            inside = g.ids < n - 1
+            inside = g.ids < size
             distinct = np.unique(at[inside] * n + g.ids[inside])
             counts = np.bincount(distinct % n, minlength=n).astype(float)
             counts[-1] = len(low)
             yield counts
 
-    return _summed(docs, run, (len(terms) + 1,))
-
-
-def latent_axes(docs: DataFrame, items: list[list[bytes]], terms: dict[bytes, int], idf: np.ndarray, axes: int = AXES) -> np.ndarray:
-    """Orthonormal term vectors (terms x axes) by a randomised SVD of the TF-IDF passages."""
-    size = len(terms)
+    return _summed(docs, run, (size + 1,))
+
+
+def term_products(g: Gathered, idf: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every two terms of a passage (TF-IDF, of unit length, end to end): cell, the first term * size + the other, and the product of their weights."""
+    _, low, high = g.windows(PASSAGE)
+    at, ids = np.repeat(np.arange(len(low)), high - low), g.ids
+    at, ids = at[ids < size], ids[ids < size]
+    cells, counts = np.unique(at * size + ids, return_counts=True)
+    at, ids = cells // size, cells % size
+    weight = counts * idf[ids]
+    norm = np.sqrt(np.bincount(at, weight**2, minlength=len(low)))
+    weight = weight / np.maximum(norm[at], 1e-12)
+    for apart in range(PASSAGE):
+        one = np.flatnonzero(at[apart:] == at[: len(at) - apart])
+        if not len(one):
+            return
+        yield ids[one] * size + ids[one + apart], weight[one] * weight[one + apart]
+
+
+def added_up(held: list[np.ndarray], size: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Sums by cell, a row for each strip of terms; ``held``: the cell and, in the last ``bits`` bits, the product, so that numbers alone are sorted."""
+    both = np.concatenate(held)
+    both.sort()
+    cell = both >> bits
+    edges = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    cell, total = cell[edges], (np.add.reduceat(both & ((1 << bits) - 1), edges) / (1 << bits)).astype(np.float32)
+    strip = cell // (STRIP * size)
+    begin = np.flatnonzero(np.append(True, strip[1:] != strip[:-1]))
+    place = (cell - strip * (STRIP * size)).astype(np.int64)
+    rows = list(zip(begin.tolist(), np.append(begin[1:], len(cell)).tolist(), strict=True))
+    yield _strips(strip[begin], [place[a:b] for a, b in rows], [total[a:b] for a, b in rows])
+
+
+def _strips(strip: np.ndarray, places: list[np.ndarray], sums: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {
+            "strip": pa.array(strip, pa.int64()),
+            "places": pa.array([x.astype(np.int32).tobytes() for x in places], pa.binary()),
+            "sums": pa.array([x.astype(np.float32).tobytes() for x in sums], pa.binary()),
+        }
+    )
+
+
+def _cells(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(batch.column("places")[k].as_py(), np.int32), np.frombuffer(batch.column("sums")[k].as_py(), np.float32)
+
+
+def common_terms(docs: DataFrame, idf: np.ndarray, size: int, kind: str) -> DataFrame:
+    """A'A of the TF-IDF passages A of all numbered rows, on and above the diagonal, in strips of terms (strip, places, sums); stored."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(idf)
+    bits = 62 - (size * size).bit_length()
+    columns = "strip bigint, places binary, sums binary"
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for _, g in gathered(batches, kind):
+            for cell, weight in term_products(g, shared.value, size):
+                held.append(cell << bits | np.minimum((weight * (1 << bits)).astype(np.int64), (1 << bits) - 1))
+                n += len(cell)
+            if n >= PRODUCTS:
+                yield from added_up(held, size, bits)
+                held, n = [], 0
+        if n:
+            yield from added_up(held, size, bits)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strips: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, strip in enumerate(batch.column("strip").to_pylist()):
+                places, sums = _cells(batch, k)
+                if strip not in strips:
+                    strips[strip] = np.zeros(STRIP * size)
+                strips[strip][places] += sums
+        for strip, row in strips.items():
+            places = np.flatnonzero(row)
+            yield _strips(np.array([strip]), [places], [row[places]])
+
+    return written(spark, docs.mapInArrow(products, columns).repartition("strip").mapInArrow(total, columns), "common-terms")
+
+
+def latent_axes(docs: DataFrame, idf: np.ndarray, size: int, kind: str, axes: int = AXES) -> np.ndarray:
+    """Orthonormal term vectors (terms x axes) by a randomised SVD of the TF-IDF passages of all numbered rows."""
     width = min(axes + EXTRA_AXES, size)
     context = docs.sparkSession.sparkContext
-    # A fixed share of the hash range: about FIT_DOCS rows, without an exchange.
-    share = min(1.0, FIT_DOCS / max(1, docs.count()))
-    cut = F.lit(int(share * 2**62))
-    chosen = written(docs.sparkSession, docs.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**62)) < cut) & F.col("text").isNotNull()), "fit")
-    shared = context.broadcast((terms, idf))
-
-    def product(g: Gathered, q: np.ndarray) -> np.ndarray:
-        """A'(A q) over these documents' passages, each of unit length."""
-        _, low, high = g.windows(PASSAGE)
-        at, ids = np.repeat(np.arange(len(low)), high - low), g.ids
-        at, ids = at[ids < size], ids[ids < size]
-        cells, counts = np.unique(at * size + ids, return_counts=True)
-        at, ids = cells // size, cells % size
-        weight = counts * idf[ids]
-        norm = np.sqrt(np.bincount(at, weight**2, minlength=len(low)))
-        weight = weight / np.maximum(norm[at], 1e-12)
-        out = np.zeros_like(q)
-        for k in range(0, len(at), CELLS):
-            # A passage cut in two by this step counts with both parts' products: so end on a passage's edge.
-            low_cell, high_cell = np.searchsorted(at, at[k]) if k else 0, np.searchsorted(at, at[k + CELLS]) if k + CELLS < len(at) else len(at)
-            a, i, w = at[low_cell:high_cell], ids[low_cell:high_cell], weight[low_cell:high_cell, None]
-            if not len(a):
-                continue
-            rows = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            y = np.add.reduceat(w * q[i], rows, axis=0)
-            order = np.argsort(i, kind="stable")
-            terms_at = np.flatnonzero(np.append(True, i[order][1:] != i[order][:-1]))
-            back = (w * y[np.cumsum(np.append(0, a[1:] != a[:-1]))])[order]
-            out[i[order][terms_at]] += np.add.reduceat(back, terms_at, axis=0)
-        return out
+    common = common_terms(docs, idf, size, kind)
+    few = common.coalesce(MULTIPLIERS)
 
     def gram(q: np.ndarray) -> np.ndarray:
         given = context.broadcast(q)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-            for _, _, g in gathered(batches, shared.value[0]):
-                yield product(g, given.value)
-
-        total = _summed(chosen, run, q.shape)
+            q = given.value
+            out = np.zeros_like(q)
+            for batch in batches:
+                for k, strip in enumerate(batch.column("strip").to_pylist()):
+                    rows = slice(strip * STRIP, min(size, (strip + 1) * STRIP))
+                    places, sums = _cells(batch, k)
+                    above = np.zeros((STRIP, size))
+                    above.ravel()[places] = sums
+                    above = above[: rows.stop - rows.start]
+                    out[rows] += above @ q
+                    np.fill_diagonal(above[:, rows], 0)
+                    out += above.T @ q[rows]
+            yield out
+
+        total = _summed(few, run, q.shape)
         given.destroy()
-        return total + product(Gathered(items, terms), q)
+        return total
 
     q = np.random.default_rng(8).standard_normal((size, width))
     for _ in range(POWER):
         q = np.linalg.qr(gram(q))[0]
     values, vectors = np.linalg.eigh(q.T @ gram(q))
-    remove_written(chosen)
+    remove_written(common)
     keep = np.argsort(values)[::-1][:axes]
     return q @ vectors[:, keep[values[keep] > 1e-9]]
 
 
 def find_block(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
-    """Leaks of one block of items."""
+    """Leaks of one block of items; stored."""
+    spark = docs.sparkSession
     words = [fold(t) for _, t in items]
     terms = {w: i for i, w in enumerate(sorted(set(chain.from_iterable(words))))}
-    frequencies = passage_frequencies(docs, terms)
+    size, kind = len(terms), number_type(terms)
+    rows = written(spark, numbered(docs, terms), "numbered")
+    frequencies = passage_frequencies(rows, size, kind)
     idf = np.log((frequencies[-1] + 1) / (np.append(frequencies[:-1], 0) + 1)) + 1e-3
-    axes = latent_axes(docs, words, terms, idf)
+    item_texts = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(items)], "doc_id bigint, text binary").coalesce(1)
+    axes = latent_axes(rows.select(F.lit(None).cast("bigint").alias("doc_id"), "words").unionByName(numbered(item_texts, terms)), idf, size, kind)
+    item_words = [[terms[x] for x in w] for w in words]
     item_rows = np.zeros((len(items), axes.shape[1]), np.float32)
-    for i, w in enumerate(words):
-        ids = [terms[x] for x in w]
+    for i, ids in enumerate(item_words):
         row = (idf[ids, None] * axes[ids]).sum(0)
         item_rows[i] = row / max(np.linalg.norm(row), 1e-12)
     table = np.vstack([idf[:-1, None] * axes, np.zeros((1, axes.shape[1]))]).astype(np.float32)
-    answers = [answer_of(t) for _, t in items]
+    answers = [[terms[x] for x in answer_of(t)] for _, t in items]
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    given = docs.sparkSession.sparkContext.broadcast((terms, idf, table, item_rows, words, answers, [i for i, _ in items]))
+    given = spark.sparkContext.broadcast((idf, table, item_rows, item_words, answers, [i for i, _ in items]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf, table, item_rows, item_words, answers, item_ids = given.value
-        coverage = Coverage(item_words, answers, terms, idf)
-        for ids, texts, g in gathered(batches, terms):
+        idf, table, item_rows, item_words, answers, item_ids = given.value
+        coverage = Coverage(item_words, answers, size, idf)
+        for ids, g in gathered(batches, kind):
             doc, low, high = g.windows(STRIDE)
             found: dict[tuple[int, int], tuple] = {}
             near, which = coverage.pairs(g)
@@ -325,7 +409,7 @@ def find_block(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
                 for r, i, cosine in zip(rows[near[close]].tolist(), which[close].tolist(), cosines[cosines >= LEAST_COSINE].tolist(), strict=True):
                     d, w = int(doc[r]), item_words[i]
                     at = int(low[r] - g.begin[d])
-                    around = texts[d][max(0, at - len(w)) : at + PASSAGE + len(w)]
+                    around = g.ids[max(g.begin[d], low[r] - len(w)) : min(g.begin[d + 1], low[r] + PASSAGE + len(w))].tolist()
                     share = common_subsequence(w, around) / len(w)
                     answered = share >= LIKELY and _stands_in(answers[i], around)
                     if share >= SURE or answered:
@@ -348,13 +432,15 @@ def find_block(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_arrow = to_arrow_type(docs.schema["doc_id"].dataType)
-    return docs.mapInArrow(run, f"doc_id {id_type}, {LEAK}")
+    leaks = written(spark, rows.mapInArrow(run, f"doc_id {id_type}, {LEAK}"), "leaks")
+    remove_written(rows)
+    return leaks
 
 
 LEAK = "item_id bigint, lcs_share double, answered boolean, cosine double, first_word bigint"
 
 
-def _stands_in(answer: list[bytes], words: list[bytes]) -> bool:
+def _stands_in(answer: list, words: list) -> bool:
     n = len(answer)
     return bool(n) and any(words[k] == answer[0] and words[k : k + n] == answer for k in range(len(words) - n + 1))
 
@@ -381,16 +467,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, lcs_share, answered, cosine and first_word for every leak, once a document row and item."""
     docs = checked_columns(docs, "doc_id", "text")
     spark = docs.sparkSession
-    out = last = None
-    if not docs.isEmpty():
-        for block in item_blocks(benchmark):
-            if last is not None:
-                done = written(spark, last, "leaks")
-                out = done if out is None else out.unionByName(done)
-            last = find_block(docs, block)
-    if last is None:
+    found = [find_block(docs, block) for block in item_blocks(benchmark)] if not docs.isEmpty() else []
+    if not found:
         return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {LEAK}")
-    return last if out is None else out.unionByName(last)
+    return reduce(DataFrame.unionByName, found)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
