@@ -1,10 +1,13 @@
-"""Near copies by the exact Jaccard similarity of their shingles.
+"""Near copies by SimHash over the Gray-order index, then by the exact Jaccard similarity of their shingles.
 
 A text is the set of its ``WIDTH``-word shingles' 64-bit hashes. All that a
 similarity of ``SIMILAR`` or more between two texts joins comes out as one
 component; nothing is estimated.
 
-First each set is compared with a few others of its kind: under each of ``BANDS``
+First fingerprints of the sets are searched in ``simhash_gray``'s index: sets of one
+fingerprint, and those that it links, are compared. Few similar sets are as close as
+its masks can tell (two bits), so an exact way for the rest follows. Each set is
+compared with a few others of its kind: under each of ``BANDS``
 least hashes, with one that stands for all that have it. That joins most of a
 group of near copies at a cost in proportion to its size. Then sets are met in
 full: they are sorted in one order for all (common shingles last, the others by
@@ -15,7 +18,7 @@ are joined already are passed over. Under a shingle of few sets the pairs are
 put down and their signatures compared (the parity of each slot of a fixed number
 that shingles fall into: sets differ in at least as many shingles as signatures
 in bits); under one of many sets the signatures are fetched first, so only pairs
-that pass are put down. What is left is compared set by set. Order, hubs and
+that pass are put down. What is left is compared set by set. Fingerprints, order, hubs and
 signatures decide how many sets are compared, never which components are found.
 
 Defined results: a null or empty text has an empty set, and empty sets are alike;
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from alertloom.llm.common import checked_columns, remove_written, row_key, ship_by_value, written
 from alertloom.llm.graph import connected_components
-from alertloom.llm.simhash_gray import first_row, keep_first, name_components
+from alertloom.llm.simhash_gray import CHUNK, bit_counts, first_row, gray_links, keep_first, majority, name_components
 
 WIDTH = 5
 #: Least similarity, as a fraction; the bounds below are in whole numbers.
@@ -87,6 +90,12 @@ def signature(shingles: np.ndarray) -> bytes:
     return np.packbits((slots & 1).astype(np.uint8)).tobytes()
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set; zero for an empty one."""
+    counts = sum(bit_counts(shingles[k : k + CHUNK]) for k in range(0, max(1, len(shingles)), CHUNK))
+    return majority(counts, len(shingles))
+
+
 def least_hashes(shingles: np.ndarray) -> np.ndarray:
     """The least shingle under each of ``BANDS`` orders; none for an empty set."""
     if not len(shingles):
@@ -95,7 +104,7 @@ def least_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, set_id, n, signature, least, shingles) for every row; equal sets have equal set_ids."""
+    """(doc_id, key, set_id, n, fp, signature, least, shingles) for every row; equal sets have equal set_ids."""
     docs = checked_columns(docs, "doc_id", "text").select("doc_id", "text", row_key().alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,13 +121,14 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     "key": batch.column("key"),
                     "set_id": pa.array(ids),
                     "n": pa.array([len(s) for s in sets], pa.int32()),
+                    "fp": pa.array(np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)),
                     "signature": pa.array(signs, pa.binary()),
                     "least": pa.array([least_hashes(s) for s in sets], pa.list_(pa.int64())),
                     "shingles": pa.array(held, pa.binary()),
                 }
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, set_id bigint, n int, signature binary, least array<bigint>, shingles binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, set_id bigint, n int, fp bigint, signature binary, least array<bigint>, shingles binary")
 
 
 def leading(sets: DataFrame, common: np.ndarray) -> DataFrame:
@@ -337,6 +347,16 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return links
 
 
+def gray_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints the Gray-order index links, or are equal: one set stands for each fingerprint."""
+    prints = sets.select("set_id", "fp").dropDuplicates(["set_id"])
+    hubs = prints.groupBy("fp").agg(F.min("set_id").alias("hub"))
+    side = lambda name: hubs.select(F.col("fp").alias(name), F.col("hub").alias(f"of_{name}"))
+    equal = prints.join(side("at"), F.col("fp") == F.col("at")).select(F.col("of_at").alias("x"), F.col("set_id").alias("y")).where("x <> y")
+    linked = gray_links(hubs.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("of_a").alias("x"), F.col("of_b").alias("y"))
+    return equal.unionByName(linked).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def hub_pairs(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of each set with one that stands for all that share a least hash."""
     keys = sets.select("set_id", "least").dropDuplicates(["set_id"]).select("set_id", F.posexplode("least").alias("band", "key"))
@@ -348,7 +368,7 @@ def hub_pairs(sets: DataFrame) -> DataFrame:
 def similar_links(sets: DataFrame) -> DataFrame:
     """Links (a, b) that join all set_ids whose sets are similar, as far as similarities reach."""
     spark = sets.sparkSession
-    first = similar(close_signatures(hub_pairs(sets), sets), sets)
+    first = similar(close_signatures(gray_pairs(sets).unionByName(hub_pairs(sets)).distinct(), sets), sets)
     joined = written(spark, connected_components(first), "joined")
     remove_written(first)
     heads = leading(sets, common_shingles(sets)).join(joined, F.col("set_id") == F.col("vertex"), "left")
@@ -362,23 +382,26 @@ def similar_links(sets: DataFrame) -> DataFrame:
     return second.unionByName(joined.select(F.col("vertex").alias("a"), F.col("component").alias("b")))
 
 
-def _linked(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, component_id, first) for every row of ``docs``; first: the key of the component's first row."""
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, component_id, first) for every row of ``docs``; first: the key of the component's first row. Also the stored sets that it reads."""
     sets = written(docs.sparkSession, shingle_sets(docs), "shingle-sets")
     labels = connected_components(similar_links(sets))
     distinct = sets.groupBy("set_id").agg(F.min("doc_id").alias("least"), first_row().alias("first"))
     by_set = name_components(distinct, labels, "set_id")
-    return sets.select("doc_id", "key", "set_id").join(by_set, F.col("set_id") == F.col("of")).select("doc_id", "key", "component_id", "first")
+    return sets.select("doc_id", "key", "set_id").join(by_set, F.col("set_id") == F.col("of")).select("doc_id", "key", "component_id", "first"), sets
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs``."""
-    return _linked(docs).select("doc_id", "component_id")
+    return _linked(docs)[0].select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """Keep one row of each component, as ``keep_first`` says."""
-    return keep_first(docs, _linked(docs))
+    groups, sets = _linked(docs)
+    losers = written(docs.sparkSession, groups.select("key", "first").where("key <> first"), "copies")
+    remove_written(sets)
+    return keep_first(docs, losers)
 
 
 ship_by_value(__name__)

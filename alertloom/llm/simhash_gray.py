@@ -51,6 +51,16 @@ def masks() -> list[int]:
     return [((1 << BITS) - 1) ^ blocks[i] ^ blocks[j] for i, j in combinations(range(len(blocks)), 2)]
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """For each bit, the highest first, how many of the hashes have it."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that more than half of ``n`` hashes have."""
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
 def fingerprint(text: bytes, width: int, seed: int) -> int:
     """Fingerprint of a text's shingles of ``width`` words."""
     import xxhash
@@ -64,9 +74,8 @@ def fingerprint(text: bytes, width: int, seed: int) -> int:
     ends = (ends - 1)[min(width, len(words)) - 1 :].tolist()
     hash64, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for k in range(0, len(starts), CHUNK):
-        hashes = np.array([hash64(line[a:b], seed) for a, b in zip(starts[k : k + CHUNK], ends[k : k + CHUNK], strict=True)], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
+        counts += bit_counts(np.array([hash64(line[a:b], seed) for a, b in zip(starts[k : k + CHUNK], ends[k : k + CHUNK], strict=True)], np.uint64))
+    return majority(counts, len(starts))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
