@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from alertloom.llm.common import checked_columns, ship_by_value
+from alertloom.llm.common import checked_columns, lean, ship_by_value
 
 #: Distinct pieces that a worker remembers before it starts afresh; bounds memory.
 MEMO_PIECES = 400_000
@@ -183,7 +183,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 ship_by_value(__name__)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import checked_columns, remove_written, row_key, sheltered, ship_by_value, written
+from alertloom.llm.common import checked_columns, lean, remove_written, row_key, sheltered, ship_by_value, written
 
 PASSAGE, STRIDE = 32, 16
 AXES, EXTRA_AXES, POWER = 256, 16, 2
@@ -113,7 +113,7 @@ def numbered(rows: DataFrame, terms: dict[bytes, int]) -> DataFrame:
             words = [np.fromiter(map(get, fold(x.as_py()), other), kind).tobytes() for x in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "words": pa.array(words, pa.binary())})
 
-    return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, words binary")
+    return rows.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, words binary")
 
 
 def gathered(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[list, Gathered]]:
@@ -228,7 +228,7 @@ def _summed(rows: DataFrame, run: Callable, shape: tuple[int, ...]) -> np.ndarra
         return pa.table({"part": table.column("part")[:1], "data": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(shape)
-    for row in rows.mapInArrow(parts, "part bigint, data binary").groupBy("part").applyInArrow(add, "part bigint, data binary").collect():
+    for row in rows.mapInArrow(lean(parts), "part bigint, data binary").groupBy("part").applyInArrow(add, "part bigint, data binary").collect():
         piece = np.frombuffer(bytes(row.data)).reshape(-1, *shape[1:])
         out[row.part : row.part + len(piece)] = piece
     return out
@@ -328,7 +328,7 @@ def common_terms(docs: DataFrame, idf: np.ndarray, size: int, kind: str) -> Data
             places = np.flatnonzero(row)
             yield _strips(np.array([strip]), [places], [row[places]])
 
-    return written(spark, docs.mapInArrow(products, columns).repartition("strip").mapInArrow(total, columns), "common-terms")
+    return written(spark, docs.mapInArrow(lean(products), columns).repartition("strip").mapInArrow(lean(total), columns), "common-terms")
 
 
 def latent_axes(docs: DataFrame, idf: np.ndarray, size: int, kind: str, axes: int = AXES) -> np.ndarray:
@@ -378,7 +378,8 @@ def find_block(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
     rows = written(spark, numbered(docs, terms), "numbered")
     frequencies = passage_frequencies(rows, size, kind)
     idf = np.log((frequencies[-1] + 1) / (np.append(frequencies[:-1], 0) + 1)) + 1e-3
-    item_texts = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(items)], "doc_id bigint, text binary").coalesce(1)
+    # From Arrow, as Spark starts further Python workers to read rows of Python objects, and they stay.
+    item_texts = spark.createDataFrame(pa.table({"doc_id": pa.array(range(len(items)), pa.int64()), "text": pa.array([t for _, t in items], pa.binary())})).coalesce(1)
     axes = latent_axes(rows.select(F.lit(None).cast("bigint").alias("doc_id"), "words").unionByName(numbered(item_texts, terms)), idf, size, kind)
     item_words = [[terms[x] for x in w] for w in words]
     item_rows = np.zeros((len(items), axes.shape[1]), np.float32)
@@ -432,7 +433,7 @@ def find_block(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_arrow = to_arrow_type(docs.schema["doc_id"].dataType)
-    leaks = written(spark, rows.mapInArrow(run, f"doc_id {id_type}, {LEAK}"), "leaks")
+    leaks = written(spark, rows.mapInArrow(lean(run), f"doc_id {id_type}, {LEAK}"), "leaks")
     remove_written(rows)
     return leaks
 

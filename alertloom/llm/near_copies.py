@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import checked_columns, remove_written, row_key, ship_by_value, written
+from alertloom.llm.common import checked_columns, lean, remove_written, row_key, ship_by_value, written
 from alertloom.llm.graph import connected_components
 from alertloom.llm.simhash_gray import CHUNK, bit_counts, first_row, gray_links, keep_first, majority, name_components
 
@@ -128,7 +128,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, set_id bigint, n int, fp bigint, signature binary, least array<bigint>, shingles binary")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, set_id bigint, n int, fp bigint, signature binary, least array<bigint>, shingles binary")
 
 
 def leading(sets: DataFrame, common: np.ndarray) -> DataFrame:
@@ -161,7 +161,7 @@ def leading(sets: DataFrame, common: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, heads)]).astype(np.int32), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_pydict({"set_id": batch.column("set_id"), "n": pa.array(sizes, pa.int32()), "head": lists})
 
-    return sets.select("set_id", "shingles").mapInArrow(run, "set_id bigint, n int, head array<bigint>")
+    return sets.select("set_id", "shingles").mapInArrow(lean(run), "set_id bigint, n int, head array<bigint>")
 
 
 def common_shingles(sets: DataFrame) -> np.ndarray:
@@ -238,7 +238,7 @@ def meetings(heads: DataFrame) -> DataFrame:
                 if len(columns[0]):
                     yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shingle", "n", "place", "label"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, shingle bigint, n bigint, place bigint, label bigint")
+    return dealt.mapInArrow(lean(run), "a bigint, b bigint, shingle bigint, n bigint, place bigint, label bigint")
 
 
 def signed_pairs(rows: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def signed_pairs(rows: DataFrame) -> DataFrame:
                 if len(pairs[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -305,7 +305,7 @@ def close_signatures(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(apart * (num + den) <= sizes * (den - num))).select(["a", "b"])
 
     light = sets.select("set_id", "n", "signature").dropDuplicates(["set_id"])
-    return with_both(pairs, light, "n", "signature").mapInArrow(run, "a bigint, b bigint")
+    return with_both(pairs, light, "n", "signature").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def wanted_sets(wanted: DataFrame, sets: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def wanted_sets(wanted: DataFrame, sets: DataFrame) -> DataFrame:
             ids = batch.column("set_id").to_numpy()
             yield batch.filter(pa.array(bits[np.mod(ids, slots)]))
 
-    some = sets.select("set_id", "shingles").mapInArrow(run, "set_id bigint, shingles binary")
+    some = sets.select("set_id", "shingles").mapInArrow(lean(run), "set_id bigint, shingles binary")
     return some.join(wanted, F.col("set_id") == F.col("wanted"), "left_semi")
 
 
@@ -342,7 +342,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(common * den >= num * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    links = written(spark, with_both(pairs, held, "shingles").mapInArrow(run, "a bigint, b bigint"), "links")
+    links = written(spark, with_both(pairs, held, "shingles").mapInArrow(lean(run), "a bigint, b bigint"), "links")
     remove_written(pairs, held)
     return links
 

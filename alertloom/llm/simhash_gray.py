@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import checked_columns, row_key, sheltered, ship_by_value, written
+from alertloom.llm.common import checked_columns, lean, row_key, sheltered, ship_by_value, written
 from alertloom.llm.graph import connected_components
 
 BITS = 64
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             found = np.array([fingerprint(x.as_py() or b"", width, seed) for x in texts], np.uint64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": pa.array(found.view(np.int64))})
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, fp bigint")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, fp bigint")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -179,7 +179,7 @@ def gray_links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
             both = fp.view(np.int64)[pairs]
             yield pa.RecordBatch.from_pydict({"a": pa.array(both.min(1)), "b": pa.array(both.max(1))})
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(lean(run), "a bigint, b bigint").distinct()
 
 
 def first_row() -> Column:
